@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, bpe, residue, sentences
+from . import boilerplate, bpe, nearcopies, residue, sentences
 from .common import corpus_records, query_records
 
 
@@ -27,13 +27,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_records(corpus_records(spark, sf_dir)).select(F.col("id").alias("doc_id"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id_a, doc_id_b): pairs of corpus records of at least 400 code points with similarity above 0.6."""
+    return nearcopies.record_pairs(corpus_records(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids): every document encoded by byte_bpe_50k."""
     return bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
