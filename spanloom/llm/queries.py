@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, bpe, nearcopies, residue, sentences
+from . import boilerplate, bpe, nearcopies, residue, sentences, sharedspans
 from .common import corpus_records, query_records
 
 
@@ -32,13 +32,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.record_pairs(corpus_records(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, start_char, end_char): stretches of 300 code points and more that stand in another record too."""
+    return sharedspans.shared_spans(corpus_records(spark, sf_dir).unionByName(query_records(spark, sf_dir)))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids): every document encoded by byte_bpe_50k."""
     return bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
