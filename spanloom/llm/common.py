@@ -65,3 +65,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spanloom-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+#: So many keys (8 bytes each) are sent to all executors; beyond it both sides are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def only_with(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is among ``keys``. The keys are counted: few enough go to every executor."""
+    keys = checkpointed(keys.select(on).distinct())
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")

@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_batches
+from .common import checkpointed, only_with, text_batches
 from .hashing import Rolling, code_points, mix
 
 SHINGLE, BINS, PERMUTATIONS, ROWS = 10, 64, 5, 5
 SYMBOLS = BINS * PERMUTATIONS
+#: Distances are taken over so many symbols of the fingerprint, one byte of each, which is what travels with pairs.
+COMPARED = 160
 REFERENCES = 4
 _MULTIPLIERS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 6)
@@ -36,7 +38,7 @@ _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 6)
 
 def distance_limit(threshold: float) -> int:
     """Largest Hamming distance that a pair above the threshold has, five standard deviations included."""
-    return int(SYMBOLS * (1 - threshold) + 5 * (SYMBOLS * threshold * (1 - threshold)) ** 0.5)
+    return int(COMPARED * (1 - threshold) + 5 * (COMPARED * threshold * (1 - threshold)) ** 0.5)
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -88,6 +90,18 @@ def fingerprints(records: DataFrame, min_chars: int) -> DataFrame:
     return long.select("id", F.xxhash64("text", F.length("text")).alias("cls"), "text").mapInArrow(run, "id string, cls bigint, sketch binary")
 
 
+def _compared(prints: DataFrame) -> DataFrame:
+    """(cls, fp): the compared bytes of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+            short = np.ascontiguousarray(symbols[:, :: SYMBOLS // COMPARED].astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in short], pa.binary())], names=["cls", "fp"])
+
+    return prints.select("cls", "sketch").mapInArrow(run, "cls bigint, fp binary").groupBy("cls").agg(F.first("fp").alias("fp"))
+
+
 def _blocks(classes: DataFrame) -> DataFrame:
     """(key, cls): each class in the blocks of its symbol groups."""
 
@@ -148,12 +162,12 @@ def _distances(pairs: DataFrame, classes: DataFrame, a: str, b: str) -> DataFram
         for batch in batches:
             for s in range(0, batch.num_rows, 4000):
                 part = batch.slice(s, 4000)
-                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS) for k in (2, 3))
+                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), dtype=np.uint8).reshape(-1, COMPARED) for k in (2, 3))
                 dist = (x != y).sum(axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(dist)], names=[a, b, "dist"])
 
-    left = classes.select(F.col("cls").alias(a), F.col("sketch").alias("x"))
-    right = classes.select(F.col("cls").alias(b), F.col("sketch").alias("y"))
+    left = classes.select(F.col("cls").alias(a), F.col("fp").alias("x"))
+    right = classes.select(F.col("cls").alias(b), F.col("fp").alias("y"))
     return pairs.join(left, a).join(right, b).select(a, b, "x", "y").mapInArrow(run, f"{a} bigint, {b} bigint, dist int")
 
 
@@ -178,8 +192,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["a", "b", "similarity"]
             )
 
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    texts = texts.join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
+    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+    texts = only_with(texts, needed, "cls").groupBy("cls").agg(F.first("text").alias("text"))
     x = texts.select(F.col("cls").alias("a"), F.col("text").alias("x"))
     y = texts.select(F.col("cls").alias("b"), F.col("text").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similarity double")
@@ -190,8 +204,8 @@ def class_pairs(records: DataFrame, threshold: float = 0.6, min_chars: int = 400
     limit = distance_limit(threshold)
     prints = checkpointed(fingerprints(records, min_chars))
     members = prints.select("id", "cls").distinct()
-    classes = prints.groupBy("cls").agg(F.first("sketch").alias("sketch"))
-    table = checkpointed(_distances(_references(_blocks(classes)), classes, "ref", "cls"))
+    classes = _compared(prints)
+    table = checkpointed(_distances(_references(_blocks(prints)), classes, "ref", "cls"))
     # pairs with a reference itself are decided by their own distance
     direct = table.where(F.col("dist") <= limit).select(F.least("ref", "cls").alias("a"), F.greatest("ref", "cls").alias("b"))
     x, y = table.select("ref", F.col("cls").alias("a"), F.col("dist").alias("dx")), table.select("ref", F.col("cls").alias("b"), F.col("dist").alias("dy"))
