@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import bm25_weight, idf, tokens
 
 
+#: Weights of terms are counted in this unit.
+UNIT = 1e-12
+
+
 @dataclass
 class Index:
     """postings(term, doc_id, tf, dl), terms(term, df, idf), stats(n_docs, avgdl); ``lengths`` is (doc_id, dl)."""
@@ -57,10 +61,13 @@ def prune_by_df(index: Index, max_df: int = 5000) -> DataFrame:
 
 
 def weighted_postings(index: Index, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, w) of the kept terms: the part of a score that a term gives a document, made once."""
+    """(term, doc_id, w) of the kept terms: the part of a score that a term gives a document, made once.
+
+    ``w`` is a whole number of ``UNIT``: sums of it are exact and don't depend on their order, and stay primitive longs.
+    """
     joined = index.postings.join(terms, "term")
     w = bm25_weight(F.col("tf"), F.col("dl"), scalar(index.stats, "avgdl"), F.col("idf"))
-    return joined.select("term", "doc_id", w.alias("w"))
+    return joined.select("term", "doc_id", F.floor(w / UNIT + 0.5).alias("w"))
 
 
 def index_summary(index: Index, ratio: float = 0.3) -> DataFrame:

@@ -60,7 +60,7 @@ def search(terms: str, limit: str, keys: str = "qid", qtf: str = "1", top: str =
     return f"""
   qt0 AS (SELECT {keys}, term, min(pos) AS pos, count(*) AS qtf FROM (SELECT {keys}, unnest({toks('text')}) AS term, unnest(range(len({toks('text')}))) AS pos FROM asked) GROUP BY ALL),
   qt AS (SELECT * FROM (SELECT {keys}, term, df, {qtf} AS qtf, row_number() OVER (PARTITION BY {keys} ORDER BY df, pos) AS term_rank FROM qt0 JOIN ({terms}) USING (term)) WHERE {limit}),
-  sc AS (SELECT {keys}, doc_id, round(sum((w * qtf)::DECIMAL(18, 12))::DOUBLE, 6) AS score FROM qt JOIN w USING (term) GROUP BY ALL),
+  sc AS (SELECT {keys}, doc_id, round(sum(floor(w / 1e-12 + 0.5e0)::BIGINT * qtf)::DOUBLE * 1e-12, 6) AS score FROM qt JOIN w USING (term) GROUP BY ALL),
   found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE {top})"""
 
 

@@ -210,7 +210,7 @@ def prune_max_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def posting_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = corpus_index(spark, sf_dir)
-    return index.weighted_postings(ix, ix.terms).select("term", "doc_id", F.round("w", 6).alias("w"))
+    return index.weighted_postings(ix, ix.terms).select("term", "doc_id", F.round(F.col("w") * index.UNIT, 6).alias("w"))
 
 
 # Retrieval
