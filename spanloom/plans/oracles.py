@@ -160,7 +160,7 @@ SQL: dict[str, str] = {
       CASE WHEN type = 'clueweb_id' THEN 'http://archive.example/page?id=' || value ELSE 'http://archive.example/go?href=' || url_encode(url_encode(value)) END AS url,
       type, value, type || ':' || value AS source_key FROM u""",
     "stable_ids": f"""WITH {CORPUS}, {ASKED}, f AS (SELECT 'query' AS kind, qid || '.txt' AS filename FROM q UNION ALL SELECT 'corpus', doc_id || '.txt' FROM c)
-      SELECT kind, 'train' AS split, CASE WHEN kind = 'corpus' THEN 'd-' ELSE 'q-' END || substr(sha1('pan25:train:' || filename), 1, 16) AS opaque_id, filename FROM f""",
+      SELECT kind, 'train' AS split, CASE WHEN kind = 'corpus' THEN 'd-' ELSE 'q-' END || substr(sha1('books:train:' || filename), 1, 16) AS opaque_id, filename FROM f""",
     "json_repair": "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events",
     "document_numbers": "SELECT doc_id, doc_id AS number FROM documents",
     "paragraph_chunks": f"WITH RECURSIVE {ASKED}, {pack(800, 3000)} {CHUNK_ROWS.format(src='packed')}",
@@ -228,7 +228,7 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 'qrels', count(*) FROM (SELECT DISTINCT qid, doc_id FROM qrels) UNION ALL SELECT 'missing', count(DISTINCT source_key) FROM missing_sources
       UNION ALL SELECT 'missing_' || type, count(DISTINCT source_key) FROM missing_sources GROUP BY type""",
     "referenced_documents": f"WITH {CORPUS}, d AS (SELECT DISTINCT doc_id FROM qrels) SELECT count(*) AS n_cited, count(*) FILTER (doc_id IN (SELECT doc_id FROM c)) AS n_present, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM c)) AS n_absent FROM d",
-    "registered_sources": "SELECT DISTINCT source_key, type, value, 'd-' || substr(sha1('pan14:source:' || source_key), 1, 16) AS source_doc_id FROM missing_sources",
+    "registered_sources": "SELECT DISTINCT source_key, type, value, 'd-' || substr(sha1('pages:source:' || source_key), 1, 16) AS source_doc_id FROM missing_sources",
     "trec_run_lines": f"WITH {RUN}, {RANKED} SELECT printf('%s Q0 %s %d %.6f bm25', qid, doc_id, rank, score) AS value FROM rr",
     "trec_qrels_lines": f"WITH {QRELS} SELECT printf('%s 0 %s %d', qid, doc_id, rel) AS value FROM j",
     "run_top_k": f"WITH {RUN}, {RANKED} SELECT qid, doc_id, score, rank FROM rr WHERE rank <= 2",

@@ -93,7 +93,7 @@ def parse_source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = asked(spark, sf_dir).select(F.lit("query").alias("kind"), F.lit("train").alias("split"), F.concat("qid", F.lit(".txt")).alias("filename"))
     files = files.unionByName(corpus(spark, sf_dir).select(F.lit("corpus").alias("kind"), F.lit("train").alias("split"), F.concat("doc_id", F.lit(".txt")).alias("filename")))
-    return convert.collection_ids(files, "pan25")
+    return convert.collection_ids(files, "books")
 
 
 @query
@@ -471,7 +471,7 @@ def referenced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def registered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert.register_sources(table(spark, sf_dir, "missing_sources"), "pan14")
+    return convert.register_sources(table(spark, sf_dir, "missing_sources"), "pages")
 
 
 @query

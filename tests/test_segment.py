@@ -8,18 +8,14 @@ from spanloom.operators import segment
 
 
 def pack(text, low=800, high=3000):
-    chunks, buf = [], ""
-    for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
-        if not p:
-            continue
-        if len(buf) + len(p) > high and len(buf) > low:
-            chunks.append(buf)
-            buf = p
-        else:
-            buf = f"{buf}\n\n{p}" if buf else p
-    if len(buf) > low:
-        chunks.append(buf)
-    return chunks or [text[:high]]
+    def rest(paras, held):
+        if not paras:
+            return [held] if len(held) > low else []
+        full = len(held) > low and len(held) + len(paras[0]) > high
+        following = paras[0] if full or not held else "\n\n".join([held, paras[0]])
+        return [held] * full + rest(paras[1:], following)
+
+    return rest([x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()], "") or [text[:high]]
 
 
 def run(spark, texts, make):
