@@ -157,6 +157,23 @@ def test_cut_documents(spark):
     assert truncation.cut_documents(df.where("false")).count() == 0
 
 
+def test_any_near_copy_tells_of_a_cut(spark, monkeypatch):
+    rng = random.Random(12)
+    whole = ". ".join(words(rng, 9) for _ in range(30)) + ".\n- an entry of a list that is long enough to be told apart from "
+    # the copy that goes on is neither the longest nor the last of any block: text 8 has the same words
+    rows = [(1, whole + "others"), (2, whole + "others and more"), (8, whole + "others\nand more\n\n* * * * *"), (9, whole + "others")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in truncation.cut_documents(df).collect()} == {1, 9}
+    # no other text goes on, although this one repeats its closing words
+    alone = [(1, whole + "others and more\n" + whole + "others"), (2, whole + "others")]
+    assert {r.doc_id for r in truncation.cut_documents(spark.createDataFrame(alone, "doc_id bigint, text string")).collect()} == {2}
+    # closing words beyond one round
+    other = ". ".join(words(rng, 9) for _ in range(30)) + ".\n- another entry of a list that is told apart from the rest by its "
+    more = spark.createDataFrame(rows + [(20, other + "end"), (21, other + "ending")], "doc_id bigint, text string")
+    monkeypatch.setattr(truncation, "BROADCAST_KEYS", 1)
+    assert {r.doc_id for r in truncation.cut_documents(more).collect()} == {1, 9, 20}
+
+
 @pytest.mark.parametrize("name, columns", [("p1_found", "doc_id line_no"), ("p2_found", "rec_id start_char end_char"), ("p3_found", "doc_id"), ("p6_found", "qid")])
 def test_queries_over_the_smallest_tables(spark, small, name, columns):
     df = queries.queries()[name](spark, small)
