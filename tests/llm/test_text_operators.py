@@ -104,6 +104,20 @@ CASES = [
 ]
 
 
+UNCLOSED = [
+    ("„Wo? Ich weiß nicht\", sagte er. Dann ging er. Es war spät.", ["„Wo? Ich weiß nicht\", sagte er.", "Dann ging er.", "Es war spät."]),
+    ("Er kam. „Halt! Das Wasser steigt!\", rief sie. Es war spät.", ["Er kam.", "„Halt! Das Wasser steigt!\", rief sie.", "Es war spät."]),
+    ("Das „alte\" Haus war leer. Das „neue\" war voll. Es war spät.", ["Das „alte\" Haus war leer.", "Das „neue\" war voll.", "Es war spät."]),
+    ("„Er sagte \"ja. gut\" und ging“, rief sie. Es war spät.", ["„Er sagte \"ja. gut\" und ging“, rief sie.", "Es war spät."]),
+    ("It (once and [then went away. It was late. All slept.", ["It (once and [then went away.", "It was late.", "All slept."]),
+]
+
+
+@pytest.mark.parametrize("text, want", UNCLOSED)
+def test_marks_that_never_close_do_not_hold_a_line_together(text, want):
+    assert [text[a:b] for a, b in zip(*sentences.units(text))] == want
+
+
 @pytest.mark.parametrize("text, want", CASES)
 def test_sentence_units(text, want):
     assert [text[a:b] for a, b in zip(*sentences.units(text))] == want
