@@ -390,24 +390,25 @@ def run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Alignment
 
 
-def _best_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.rerank_by_score(run_of(spark, sf_dir)).where("rank = 1").select("qid", F.col("doc_id").alias("src"))
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, src): every query with each source that the run has for it."""
+    return run_of(spark, sf_dir).select("qid", F.col("doc_id").alias("src"))
 
 
 @query
 def align_marked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = align.marked_pairs(_best_source(spark, sf_dir), asked(spark, sf_dir), corpus(spark, sf_dir))
+    out = align.marked_pairs(_pairs(spark, sf_dir), asked(spark, sf_dir), corpus(spark, sf_dir))
     return out.select("qid", "src", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.round("score", 6).alias("score"))
 
 
 @query
 def align_blocks_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.align_pairs(_best_source(spark, sf_dir), asked(spark, sf_dir), corpus(spark, sf_dir), align.V2)
+    return align.align_pairs(_pairs(spark, sf_dir), asked(spark, sf_dir), corpus(spark, sf_dir), align.V2)
 
 
 @query
 def align_blocks_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.align_pairs(_best_source(spark, sf_dir), asked(spark, sf_dir), corpus(spark, sf_dir), align.V1)
+    return align.align_pairs(_pairs(spark, sf_dir), asked(spark, sf_dir), corpus(spark, sf_dir), align.V1)
 
 
 def _windows(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
