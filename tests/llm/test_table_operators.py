@@ -174,6 +174,15 @@ def test_any_near_copy_tells_of_a_cut(spark, monkeypatch):
     assert {r.doc_id for r in truncation.cut_documents(more).collect()} == {1, 9, 20}
 
 
+def test_near_copies_tell_of_short_lines_with_an_ellipsis(spark):
+    rng = random.Random(13)
+    whole = ". ".join(words(rng, 9) for _ in range(30)) + ".\nThe town replac"
+    deliberate = ". ".join(words(rng, 9) for _ in range(30)) + ".\nAnd then"
+    rows = [(1, whole + "..."), (2, whole + "ed its mill."), (3, deliberate + "…"), (4, deliberate + "…\nNobody came.")]
+    assert truncation.closing(rows[0][1])[0] == truncation.closing(rows[2][1])[0] == truncation.BY_LIMIT
+    assert {r.doc_id for r in truncation.cut_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {1}
+
+
 @pytest.mark.parametrize("name, columns", [("p1_found", "doc_id line_no"), ("p2_found", "rec_id start_char end_char"), ("p3_found", "doc_id"), ("p6_found", "qid")])
 def test_queries_over_the_smallest_tables(spark, small, name, columns):
     df = queries.queries()[name](spark, small)
