@@ -3,7 +3,7 @@
 Page furniture is cut away first (problem 1); what is left is the body. A body is residue as a whole when its lines are
 template tags, filler or notices of errors, missing scripts and gates. A real body is residue when it has unfilled
 holes: each delimiter has its own grammar, and a hole counts only where the text around it does not talk about it
-(code blocks, inline code, manuals, shells, quoted marks) and where holes are not so dense that the text is a tutorial.
+(code blocks, inline code, manuals, shells, quoted marks). A long text that does so is a tutorial where its holes are dense.
 
 Cases: null, empty and blank texts are no residue; records that are furniture only are none; repeated records come once.
 """
@@ -45,7 +45,7 @@ ABOUT = re.compile(
     re.I,
 )
 CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`", re.S)
-#: More holes than this for each 100 characters of a long text make it a tutorial.
+#: More holes than this for each 100 characters of a long text make it a tutorial, if it talks about holes or shows them in code.
 TUTORIAL_DENSITY = 2.0
 
 #: Syllables of the pseudo-Latin filler (fixed values); a word of it is a chain of them.
@@ -130,10 +130,14 @@ def _has_holes(body: str) -> bool:
         return False
     clean = CODE.sub(" ", body) if "`" in body else body
     open_holes = 0
+    shown = clean is not body and any(HOLE.search(m[0]) for m in CODE.finditer(body))
     for m in HOLE.finditer(clean):
-        if not ABOUT.search(_sentence(clean, m.start(), m.end())):
+        if ABOUT.search(_sentence(clean, m.start(), m.end())):
+            shown = True
+        else:
             open_holes += 1
-    return 0 < open_holes and open_holes * 100 <= TUTORIAL_DENSITY * len(clean)
+    tutorial = shown and len(clean) > SHORT_BODY and open_holes * 100 > TUTORIAL_DENSITY * len(clean)
+    return open_holes > 0 and not tutorial
 
 
 def is_residue(lines: list[str], article: list[int]) -> bool:

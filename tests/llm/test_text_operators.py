@@ -104,6 +104,22 @@ CASES = [
 ]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Dear {{name}}, your order {{id}} left our house today.",
+        "The order {{id}} left our house today.",
+        "Dear {{name}}, the order {{id}} left our house in {{town}} today and will come soon. " * 6,
+    ],
+)
+def test_dense_holes_without_talk_are_residue(text):
+    assert residue.text_is_residue(text)
+
+
+def test_dense_holes_of_a_tutorial_are_none():
+    assert not residue.text_is_residue("The syntax {{name}} is for names. " + "Then comes {{id}} of an order and {{town}} of a house. " * 10)
+
+
 UNCLOSED = [
     ("„Wo? Ich weiß nicht\", sagte er. Dann ging er. Es war spät.", ["„Wo? Ich weiß nicht\", sagte er.", "Dann ging er.", "Es war spät."]),
     ("Er kam. „Halt! Das Wasser steigt!\", rief sie. Es war spät.", ["Er kam.", "„Halt! Das Wasser steigt!\", rief sie.", "Es war spät."]),
