@@ -102,13 +102,20 @@ def line_costs(lines: list[str]) -> list[tuple[int, float]]:
     seen_prose = False
     stripped = [x.strip() for x in lines]
     filled = [i for i, s in enumerate(stripped) if s]
-    below = 0  # teasers that may still follow a label
+    below = False  # in the run of teasers that follows a label
     for k, i in enumerate(filled):
         s = stripped[i]
         n = len(s)
         if n > 200:
-            seen_prose, below = True, 0
-            out.append((i, -6.0))
+            # a long notice or a flattened menu; else prose
+            parts = SEPARATOR.split(s)
+            if FURNITURE_LINE.fullmatch(s):
+                out.append((i, 4.0))
+            elif len(parts) > 1 and sum(p.lower() in MENU for p in parts) * 2 > len(parts):
+                out.append((i, 5.0))
+            else:
+                seen_prose, below = True, False
+                out.append((i, -6.0))
             continue
         low = s.lower()
         bare = low[2:].strip() if low[:2] in ("* ", "- ", "• ") else low
@@ -116,14 +123,13 @@ def line_costs(lines: list[str]) -> list[tuple[int, float]]:
             cost = 3.0
         elif FURNITURE_LINE.fullmatch(s):
             cost = 4.0
-            below = 8 if TEASER_LABEL.fullmatch(s) else below
+            below = below or TEASER_LABEL.fullmatch(s) is not None
         elif below and TEASER.fullmatch(s):
             cost = 3.0
-            below -= 1
         elif LIST_MARK.match(s):
-            cost, below = -2.5, 0
+            cost, below = -2.5, False
         elif ENDS_SENTENCE.search(s):
-            cost, below, seen_prose = (-5.0 if n > 60 else -3.0), 0, True
+            cost, below, seen_prose = (-5.0 if n > 60 else -3.0), False, True
         else:
             parts = SEPARATOR.split(s)
             if len(parts) > 1:
@@ -142,7 +148,7 @@ def line_costs(lines: list[str]) -> list[tuple[int, float]]:
             else:
                 cost = -2.0 if n > 3 else -1.0
             if cost < 0:
-                below = 0
+                below = False
         out.append((i, cost))
     return out
 

@@ -27,6 +27,16 @@ def test_furniture_of_a_page():
     assert bad == [0, 1, 2, 8, 9, 10, 11, 12, 14, 15] and good == [4, 5, 6, 7, 13]
 
 
+def test_long_furniture_and_long_runs_of_teasers():
+    long = "© 2020 Hill Press. All rights reserved, " + "and no part of the page may be used elsewhere, " * 5 + "says the owner."
+    menu = " | ".join(["Home", "Contact", "Archive", "Search", "Help"] * 7)
+    prose = "The mill stood by the river for years, " + "and nobody had repaired its wheel, " * 6 + "and the miller kept a ledger."
+    teasers = [f"{i} facts about the river wall" for i in range(12)] + ["The old wheel that Tom mended"]
+    lines = [menu, prose, "Related articles", *teasers, prose, long]
+    costs = dict(boilerplate.line_costs(lines))
+    assert len(long) > 200 < len(menu) and all((costs[i] > 0) == (lines[i] != prose) for i in range(len(lines)))
+
+
 @pytest.mark.parametrize("text", [None, "", "   ", "\n\n"])
 def test_nothing_in_no_text(text):
     assert boilerplate.furniture_lines(text)[1:] == ([], [])
