@@ -1,6 +1,6 @@
-"""Problem 5: long exact spans shared between records, by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Problem 5: long exact spans shared between records, by window minimisers and hashes of windows.
 
-A factor of at least ``length`` code points contains a whole window of ``length``, and each window has one anchor: the
+In place of a relative Lempel-Ziv factoring, windows are compared under their anchors. A factor of at least ``length`` code points contains a whole window of ``length``, and each window has one anchor: the
 substring of ``ANCHOR`` code points with the least hash in it. Equal windows have equal anchors at equal places, so the
 index of reference blocks is keyed by anchor: the block of an anchor is the text under all windows that chose it.
 
@@ -117,7 +117,7 @@ def _boundary_windows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor bigint, rec bigint, a int, open boolean, block string")
 
 
-#: Code points of blocks that are compared at once; an anchor with more is compared in several rounds over window parts.
+#: Bytes of blocks of several anchors that are compared at once; an anchor with more is still compared as a whole.
 _ROUND = 4_000_000
 
 
