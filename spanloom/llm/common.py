@@ -14,10 +14,10 @@ def first_filled(*names: str) -> Column:
     return F.coalesce(*[F.when(F.col(n) != "", F.col(n)) for n in names])
 
 
-def corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text) of ``corpus`` by the effective-id rule; repeated deliveries are kept."""
+def corpus_records(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(id, text, and the columns ``more``) of ``corpus`` by the effective-id rule; repeated deliveries are kept."""
     df = spark.read.parquet(f"{sf_dir}/corpus.parquet")
-    return df.select(first_filled("doc_id", "qid").alias("id"), first_filled("default_text", "query").alias("text"))
+    return df.select(first_filled("doc_id", "qid").alias("id"), first_filled("default_text", "query").alias("text"), *more)
 
 
 def query_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from .common import corpus_records, query_records
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no): lines of corpus texts that do not belong to the article."""
-    found = boilerplate.furniture(corpus_records(spark, sf_dir), skip=residue.is_residue)
+    found = boilerplate.furniture(corpus_records(spark, sf_dir, "site"), residue.evidence, residue.judge)
     return found.select(F.col("id").alias("doc_id"), "line_no")
 
 
@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id): corpus records with residue in the place of content."""
-    return residue.residue_records(corpus_records(spark, sf_dir)).select(F.col("id").alias("doc_id"))
+    return residue.residue_records(corpus_records(spark, sf_dir, "site")).select(F.col("id").alias("doc_id"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,21 +3,20 @@
 Page furniture is cut away first (problem 1); what is left is the body. A body is residue as a whole when its lines are
 template tags, filler or notices of errors, missing scripts and gates. A real body is residue when it has unfilled
 holes: each delimiter has its own grammar, and a hole counts only where the text around it does not talk about it
-(code blocks, inline code, manuals, shells, quoted marks). A long text that does so is a tutorial where its holes are dense.
+(code blocks, inline code, manuals, shells, quoted marks). A text that does so is a tutorial where its holes are dense.
+Evidence is taken from each line where the text is; the verdict is made when the lines have their labels.
 
-Cases: null, empty and blank texts are no residue; records that are furniture only are none; repeated records come once.
+Cases: null, empty and blank texts are no residue; a record that is furniture only is residue if one of its lines is
+residue by itself; repeated records come once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .boilerplate import furniture_lines
-from .common import text_batches
+from .boilerplate import labelled
 
 #: Grammar of a hole by its delimiters.
 HOLES = [
@@ -45,7 +44,7 @@ ABOUT = re.compile(
     re.I,
 )
 CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`", re.S)
-#: More holes than this for each 100 characters of a long text make it a tutorial, if it talks about holes or shows them in code.
+#: More open holes than this for each 100 characters make a text a tutorial, if it talks about holes or shows them in code.
 TUTORIAL_DENSITY = 2.0
 
 #: Syllables of the pseudo-Latin filler (fixed values); a word of it is a chain of them.
@@ -66,57 +65,94 @@ EMPTY_VALUES = re.compile(r"(?:\[object Object\]|undefined|null|NaN|None|true|fa
 NOTICES = re.compile(
     r"""
     (?:error\s+)?\b[45]\d\d\b\s*(?:not\ found|forbidden|bad\ gateway|service|gateway|internal|too\ many|unauthorized|gone|error|bad\ request|method|temporarily).*
-    |error\s+[45]\d\d\b.*|fehler\s+[45]\d\d\b.*|.*"(?:status|error|code)"\s*:\s*.*
+    |error\s+[45]\d\d\b.*|fehler\s+[45]\d\d\b.*
     |the\ requested\ (?:path|url|page|resource).*|upstream\ .*|retry\ after\ .*|nginx.*|apache/.*
-    |something\ went\ wrong.*|an\ error\ (?:has\ )?occurred.*|.*could\ not\ be\ (?:loaded|found|displayed|shown)\.?|error\ establishing\ .*|.*cannot\ be\ shown\.?
+    |something\ went\ wrong.*|an\ error\ (?:has\ )?occurred.*|error\ establishing\ .*
     |(?:sorry,\ )?(?:we\ (?:could\ not|couldn't|can't|cannot)\ find|the\ page\ you).*|(?:page|file|document|site)\ not\ found.*|this\ page\ (?:has\ been|no\ longer|does\ not|is\ not).*|try\ the\ search\ box.*
     |you\ do(?:\ not|n't)\ have\ permission.*|access\ (?:is\ )?denied.*|your\ (?:request|access)\ (?:was|has\ been)\ (?:blocked|denied).*|your\ session\ has\ expired.*
     |(?:fatal\ error|warning|notice|parse\ error|uncaught\ \w+|exception|traceback|stack\ trace|\w*(?:Error|Exception))\b\s*[:(].*|\#\d+\ .*|file\ ".*",\ line\ .*|at\ [\w.$<>]+\(.*\)
-    |please\ (?:wait|enable|turn\ on|allow|activate|verify|complete).*|checking\ (?:your|if).*|verifying\ .*|ticket\ [0-9a-f]+.*|(?:ray|reference|request)\ (?:id:?\ )?[0-9a-f]+.*|[0-9a-f]{8,}
-    |(?:java)?scripts?\ (?:is|are|must|required).*|.*\b(?:enable|requires?|needs?|allow|support)\ (?:java)?scripts?\b.*|loading\b.*(?:\.\.\.|…).*|if\ nothing\ happens.*
-    |maintenance\ in\ progress.*|.*(?:under|for)\ (?:maintenance|construction)\.?|.*will\ be\ back\ .*|the\ domain\ .*(?:parked|for\ sale).*|.*\bdomain\ is\ (?:parked|for\ sale).*
-    |.*\byou\ are\ (?:human|not\ a\ robot)\b.*|.*\bto\ continue\ reading\.?|too\ many\ requests.*
-    |(?:die\ )?(?:seite|datei)\ (?:wurde\ )?nicht\ (?:gefunden|vorhanden).*|die\ adresse\ .*\ existiert\ nicht.*|.*aktivieren\ sie\ (?:bitte\ )?javascript.*|fehlercode.*|zugriff\ verweigert.*
-    |page\ (?:introuvable|non\ trouvée).*|la\ page\ .*(?:supprimée|n['’]existe).*|.*(?:activer|activez)\ javascript.*|erreur\ \d+.*|code\ d['’]erreur.*|accès\ refusé.*
-    |página\ no\ (?:encontrada|disponible).*|no\ existe\ /.*|.*activar\ javascript.*|error\ \d+.*|acceso\ denegado.*
-    |страница\ не\ найдена.*|код\ ошибки.*|.*включите\ javascript.*|доступ\ запрещ.*|ошибка\ \d+.*
-    |(?:页面|网页|頁面)(?:不存在|未找到|找不到).*|错误代码.*|.*启用\s?javascript.*|访问被拒绝.*
-    |ページが見つかりません.*|コード[0-9a-f]+|エラー.*|.*(?:スクリプト|javascript)を有効に.*|アクセス(?:が)?拒否.*
-    |पृष्ठ\ नहीं\ मिला.*|त्रुटि.*|.*(?:javascript|स्क्रिप्ट).*(?:चालू|सक्षम).*|कोड\ .*
-    |(?:لم\ يتم\ العثور|الصفحة\ غير\ موجودة).*|رمز\ الخطأ.*|.*(?:تفعيل|تمكين)\ javascript.*|.*javascript.*(?:تفعيل|تمكين).*
-    |ไม่พบหน้า.*|รหัส.*|.*เปิด(?:ใช้(?:งาน)?)?\ ?javascript.*
+    |please\ (?:wait|enable|turn|allow|activate|verify|complete|reload|sign\ in).*|checking\ (?:your|if).*|verifying\ .*|(?:ray|reference|request|incident|ticket)\ ?(?:id)?:?\ [0-9a-f]+.*|[0-9a-f]{8,}
+    |(?:java)?scripts?\ (?:is|are|must|required).*|loading\b.*(?:\.\.\.|…).*|if\ nothing\ happens.*
+    |maintenance\ in\ progress.*|the\ domain\ .*(?:parked|for\ sale).*
+    |too\ many\ requests.*
+    |(?:die\ )?(?:seite|datei)\ (?:wurde\ )?nicht\ (?:gefunden|vorhanden).*|die\ adresse\ .*\ existiert\ nicht.*|fehlercode.*|zugriff\ verweigert.*
+    |page\ (?:introuvable|non\ trouvée).*|la\ page\ .*(?:supprimée|n['’]existe).*|erreur\ \d+.*|code\ d['’]erreur.*|accès\ refusé.*
+    |página\ no\ (?:encontrada|disponible).*|no\ existe\ /.*|error\ \d+.*|acceso\ denegado.*
+    |страница\ не\ найдена.*|код\ ошибки.*|доступ\ запрещ.*|ошибка\ \d+.*
+    |(?:页面|网页|頁面)(?:不存在|未找到|找不到).*|错误代码.*|访问被拒绝.*
+    |ページが見つかりません.*|コード[0-9a-f]+|エラー.*|アクセス(?:が)?拒否.*
+    |पृष्ठ\ नहीं\ मिला.*|त्रुटि.*|कोड\ .*
+    |(?:لم\ يتم\ العثور|الصفحة\ غير\ موجودة).*|رمز\ الخطأ.*
+    |ไม่พบหน้า.*|รหัส.*
     """,
     re.I | re.X,
 )
-#: Notices and template tags are lines of at most so many characters; a longer line is prose or filler.
-LONG_LINE = 250
-#: Bodies longer than this are judged by the share of residue among their characters, shorter ones may have a loose line.
-SHORT_BODY = 400
+#: Notices known by what stands further in, tried where one of their words stands.
+LATER = re.compile(
+    r"""
+    .*"(?:status|error|code)"\s*:\s*.*
+    |.*could\ not\ be\ (?:loaded|found|displayed|shown)\.?|.*cannot\ be\ shown\.?
+    |.*\b(?:enable|requires?|needs?|allow|support)\ (?:java)?scripts?\b.*
+    |.*(?:under|for)\ (?:maintenance|construction)\.?|.*will\ be\ back\ .*|.*\bdomain\ is\ (?:parked|for\ sale).*
+    |.*\byou\ are\ (?:human|not\ a\ robot)\b.*|.*\bto\ continue\ reading\.?
+    |.*aktivieren\ sie\ (?:bitte\ )?javascript.*
+    |.*(?:activer|activez)\ javascript.*
+    |.*activar\ javascript.*
+    |.*включите\ javascript.*
+    |.*启用\s?javascript.*
+    |.*(?:スクリプト|javascript)を有効に.*
+    |.*(?:javascript|स्क्रिप्ट).*(?:चालू|सक्षम).*
+    |.*(?:تفعيل|تمكين)\ javascript.*|.*javascript.*(?:تفعيل|تمكين).*
+    |.*เปิด(?:ใช้(?:งาน)?)?\ ?javascript.*
+    """,
+    re.I | re.X,
+)
+LATER_WORDS = (
+    "script", "जावास्क्रिप्ट", "स्क्रिप्ट", "スクリプト", "could not be", "cannot be", "maintenance", "construction", "will be back", "domain",
+    "you are", "to continue", "status", "error", "code",
+)
+SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
+
+
+def _is_notice(sentence: str) -> bool:
+    if NOTICES.fullmatch(sentence):
+        return True
+    low = sentence.lower()
+    for word in LATER_WORDS:
+        if word in low:
+            return LATER.fullmatch(sentence) is not None
+    return False
+
+
+def _notice(line: str) -> bool:
+    """Whether the first sentence of a line and at least half of all are notices."""
+    first = SENTENCE.search(line)
+    if first is None:
+        return _is_notice(line)
+    if not _is_notice(line[: first.start()]):
+        return False
+    sentences = SENTENCE.split(line)
+    return sum(map(_is_notice, sentences)) * 2 >= len(sentences)
 
 
 def _filler(line: str) -> bool:
     if line.isascii():
-        first = WORD.findall(line[:60])[:5]
-        if len(first) >= 4 and sum(LATIN.fullmatch(w) is not None for w in first) >= len(first) - 1:
+        words = line.split(None, 5)[:5]
+        if len(words) >= 4 and sum(LATIN.fullmatch(w.strip(".,;:!?")) is not None for w in words) >= len(words) - 1:
             words = WORD.findall(line)
             if sum(len(w) for w in words if LATIN.fullmatch(w)) > 0.9 * sum(map(len, words)):
                 return True
-    return len(line) <= LONG_LINE and FILLER.fullmatch(line) is not None
+    return FILLER.fullmatch(line) is not None
 
 
 def _whole_line(line: str) -> bool:
     """Whether a line of the body is residue by itself."""
-    if _filler(line):
-        return True
-    if len(line) > LONG_LINE:
-        return False
-    if NOTICES.fullmatch(line) or EMPTY_VALUES.fullmatch(line):
+    if _filler(line) or EMPTY_VALUES.fullmatch(line) or _notice(line):
         return True
-    holes = HOLE.findall(line)
-    if not holes:
+    if not may_have_hole(line):
         return False
-    rest = HOLE.sub("", line)
-    return len(WORD.findall(rest)) <= 4 or line.startswith("TODO")
+    rest, holes = HOLE.subn("", line)
+    return holes > 0 and (len(WORD.findall(rest)) <= 4 * holes or line.startswith("TODO"))
 
 
 def _sentence(text: str, start: int, end: int) -> str:
@@ -125,56 +161,73 @@ def _sentence(text: str, start: int, end: int) -> str:
     return text[a : min(b) if b else len(text)]
 
 
-def _has_holes(body: str) -> bool:
-    if not any(c in body for c in "{[<%$@_#") and "XX" not in body and "TODO" not in body and "TBD" not in body and "FIXME" not in body:
-        return False
-    clean = CODE.sub(" ", body) if "`" in body else body
-    open_holes = 0
-    shown = clean is not body and any(HOLE.search(m[0]) for m in CODE.finditer(body))
-    for m in HOLE.finditer(clean):
-        if ABOUT.search(_sentence(clean, m.start(), m.end())):
-            shown = True
-        else:
-            open_holes += 1
-    tutorial = shown and len(clean) > SHORT_BODY and open_holes * 100 > TUTORIAL_DENSITY * len(clean)
-    return open_holes > 0 and not tutorial
-
-
-def is_residue(lines: list[str], article: list[int]) -> bool:
-    """Judge the body of a page: its lines and the numbers of those that are not furniture."""
-    body = [s for i in article if (s := lines[i].strip())]
-    size = sum(map(len, body))
+#: Without one of these a text has no hole.
+HOLE_MARKS = ("{", "[", "<", "%", "$", "@", "_", "#", "XX", "TODO", "TBD", "FIXME")
+_KNOWN: dict[str, int] = {}
+
+
+def may_have_hole(text: str) -> bool:
+    for mark in HOLE_MARKS:
+        if mark in text:
+            return True
+    return False
+
+
+def evidence(text: str, stripped: list[str]) -> list[int]:
+    """Two numbers for each non-blank line: its size, negative for residue by itself, and 2 x open holes + 1 if holes are
+    shown in it. What stands in code blocks is shown."""
+    out = []
+    clean = shown_code = None
+    if may_have_hole(text):
+        clean = text
+        if "`" in text:
+            spans = [m.span() for m in CODE.finditer(text) if HOLE.search(m[0])]
+            shown_code = {text.count("\n", 0, a) for a, _ in spans}
+            clean = CODE.sub(lambda m: "\n" * m[0].count("\n") or " ", text)
+        clean = clean.split("\n")
+    numbers = [i for i, x in enumerate(text.split("\n")) if x.strip()] if clean else stripped
+    for i, s in zip(numbers, stripped):
+        size = _KNOWN.get(s)
+        if size is None:
+            size = -len(s) if _whole_line(s) else len(s)
+            if len(s) < 60:
+                if len(_KNOWN) > 100_000:
+                    _KNOWN.clear()
+                _KNOWN[s] = size
+        marks = 0
+        if clean and may_have_hole(clean[i]):
+            line = clean[i]
+            for m in HOLE.finditer(line):
+                if ABOUT.search(_sentence(line, m.start(), m.end())):
+                    marks |= 1
+                else:
+                    marks += 2
+        if shown_code and i in shown_code:
+            marks |= 1
+        out += (size, marks)
+    return out
+
+
+def judge(numbers: list[int], furniture: list[bool]) -> bool:
+    """Whether a page is residue, from the evidence of its lines and which of them are furniture."""
+    sizes, marks = numbers[::2], numbers[1::2]
+    body = [k for k, x in enumerate(furniture) if not x]
     if not body:
-        return _only_notice(lines)
-    allowed = (0.65 if size <= SHORT_BODY else 0.4) * size
-    good = 0
-    for s in sorted(body, key=len, reverse=True):  # the long lines decide most pages at once
-        if not _whole_line(s):
-            good += len(s)
-            if good > allowed:
-                break
-    else:
+        return any(x < 0 for x in sizes)  # residue that repeats so often that it counts as furniture
+    size = sum(abs(sizes[k]) for k in body)
+    good = sum(sizes[k] for k in body if sizes[k] > 0)
+    if good <= (LEAST_SHARE + SHORT_SHARE * HALF_SIZE / (HALF_SIZE + size)) * size:
         return True
-    return _has_holes("\n".join(body))
+    holes = sum(marks[k] >> 1 for k in body)
+    # holes of a text that shows some are its subject where they are dense
+    shown = any(marks[k] & 1 for k in body)
+    return holes > 0 and not (shown and holes * 100 > TUTORIAL_DENSITY * size)
 
 
-def _only_notice(lines: list[str]) -> bool:
-    """A record whose lines are all furniture is residue if a script notice or error stands alone in it."""
-    return any(NOTICES.fullmatch(s.strip()) for s in lines if s.strip())
-
-
-def text_is_residue(text: str | None) -> bool:
-    lines, _, article = furniture_lines(text)
-    return bool(lines) and is_residue(lines, article)
+#: A body is residue as a whole if at most this share of it is anything else; a short one may have more loose words.
+LEAST_SHARE, SHORT_SHARE, HALF_SIZE = 0.35, 0.3, 400
 
 
 def residue_records(df: DataFrame) -> DataFrame:
-    """(id) of the records of (id, text) that are residue; a narrow shuffle of ids makes repeated records one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in text_batches(iter([batch])):
-                ids = [k for k, t in zip(part.column(0).to_pylist(), texts) if text_is_residue(t)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string())], names=["id"])
-
-    return df.where("id is not null and text is not null").select("id", "text").mapInArrow(run, "id string").distinct()
+    """(id) of the records of (id, text[, site]) that are residue."""
+    return labelled(df, evidence, judge).where("judged").select("id")
