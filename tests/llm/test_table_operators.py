@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, nearcopies, packing, queries, sharedspans, truncation
+from spanloom.llm import bpe, nearcopies, packing, queries, sentences, sharedspans, truncation
 
 WORDS = [f"w{i:03d}x" for i in range(400)]
 
@@ -157,7 +157,7 @@ def test_cut_documents(spark):
     assert truncation.cut_documents(df.where("false")).count() == 0
 
 
-def test_any_near_copy_tells_of_a_cut(spark, monkeypatch):
+def test_any_near_copy_tells_of_a_cut(spark):
     rng = random.Random(12)
     whole = ". ".join(words(rng, 9) for _ in range(30)) + ".\n- an entry of a list that is long enough to be told apart from "
     # the copy that goes on is neither the longest nor the last of any block: text 8 has the same words
@@ -167,19 +167,29 @@ def test_any_near_copy_tells_of_a_cut(spark, monkeypatch):
     # no other text goes on, although this one repeats its closing words
     alone = [(1, whole + "others and more\n" + whole + "others"), (2, whole + "others")]
     assert {r.doc_id for r in truncation.cut_documents(spark.createDataFrame(alone, "doc_id bigint, text string")).collect()} == {2}
-    # closing words beyond one round
+    # hidden among lines that look complete, each is found by its copies only
     other = ". ".join(words(rng, 9) for _ in range(30)) + ".\n- another entry of a list that is told apart from the rest by its "
     more = spark.createDataFrame(rows + [(20, other + "end"), (21, other + "ending")], "doc_id bigint, text string")
-    monkeypatch.setattr(truncation, "BROADCAST_KEYS", 1)
     assert {r.doc_id for r in truncation.cut_documents(more).collect()} == {1, 9, 20}
 
 
+def test_a_hot_group_of_copies_is_aligned_whole(spark):
+    rng = random.Random(14)
+    items = [f"- {words(rng, 12)}" for _ in range(40)]
+    whole = "\n".join(items) + "\nThe end of it."
+    # cut between two words of a list item: closing words say nothing, every copy may be the one that goes on
+    cuts = [whole.index(items[k]) + items[k].rindex(" ") for k in range(10, 40)]
+    rows = [(i, whole[:c]) for i, c in enumerate(cuts)] + [(1000 + i, whole) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in truncation.cut_documents(df).collect()} == set(range(30))
+
+
 def test_near_copies_tell_of_short_lines_with_an_ellipsis(spark):
     rng = random.Random(13)
     whole = ". ".join(words(rng, 9) for _ in range(30)) + ".\nThe town replac"
     deliberate = ". ".join(words(rng, 9) for _ in range(30)) + ".\nAnd then"
     rows = [(1, whole + "..."), (2, whole + "ed its mill."), (3, deliberate + "…"), (4, deliberate + "…\nNobody came.")]
-    assert truncation.closing(rows[0][1])[0] == truncation.closing(rows[2][1])[0] == truncation.BY_LIMIT
+    assert {truncation.closing(rows[i][1], sentences.Model())[0] for i in (0, 2)} == {truncation.BY_LIMIT}
     assert {r.doc_id for r in truncation.cut_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {1}
 
 

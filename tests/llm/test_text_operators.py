@@ -1,73 +1,95 @@
+import itertools
+import math
 import random
 
 import pytest
 
-from spanloom.llm import boilerplate, residue, sentences, splitting, truncation
+from spanloom.llm import boilerplate, queries, residue, sentences, splitting, truncation
 
-PAGE = """Home | Contact | Archive
-Hill Press > Rivers > The old mill of Ames
-Accept cookies
+def site_pages(n=60):
+    """Pages of three sites whose furniture is made of words that stand nowhere else, with copies and repeated deliveries."""
+    rng = random.Random(8)
+    made = lambda k: "".join(rng.choice("bdklmnprstv") + rng.choice("aeiou") for _ in range(k))
+    words = [made(3) for _ in range(300)]
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(8, 14))).capitalize() + "."
+    opening = made(2).capitalize() + " " + made(2)
+    rows = []
+    for site in range(3):
+        menu = [made(2).capitalize() for _ in range(5)]
+        notice, label, foot = f"{made(3)} {made(2)} {made(4)} {made(2)}", made(4).capitalize(), f"© {made(3)} {made(2)}"
+        for p in range(n // 3):
+            head = " ".join(rng.choice(words) for _ in range(4)).capitalize()
+            body = [" ".join(sentence() for _ in range(4)) for _ in range(4)]
+            teasers = [f"{opening} {made(3)} {made(2)}" for _ in range(2)]
+            lines = menu + [notice, f"Site{site} > Part > {head}", head, body[0], "", body[1], label, *teasers, "", body[2], body[3], foot]
+            rows.append((f"d{site}-{p}", "\n".join(lines), f"s{site}", [*range(7), 11, 12, 13, 17]))
+    return rows
 
-The old mill of Ames
-About the mill
-The mill stood by the river for years. Nobody had repaired its wheel, and the miller kept a ledger of grain.
-- grain of Ames
-Tags: mill, river, grain
-Related articles
-The old wheel that Tom mended
-17 facts about the river wall
-Advertisement
-It was sold in 1912. The council never bought it back, although few people noticed.
-Printed from Hill Press on 9 May 2020
-© 2020 Hill Press. All rights reserved."""
 
+def test_unseen_furniture_is_found(spark):
+    rows = site_pages()
+    df = spark.createDataFrame([r[:3] for r in rows + rows[:3]], "id string, text string, site string")
+    df = df.union(spark.createDataFrame([("e", "", None), ("n", None, "s0"), (None, "x", "s0"), ("b", " \n ", "s0"), ("one", "A page of one line only.", None)], df.schema))
+    found = {(r["id"], r["line_no"]) for r in boilerplate.furniture(df).collect()}
+    true = {(r[0], no) for r in rows for no in r[3]}
+    both = len(found & true)
+    assert both > 0.95 * len(true) and both > 0.95 * len(found), sorted(no for _, no in true - found)
 
-def test_furniture_of_a_page():
-    _, bad, good = boilerplate.furniture_lines(PAGE)
-    assert bad == [0, 1, 2, 8, 9, 10, 11, 12, 14, 15] and good == [4, 5, 6, 7, 13]
 
+def test_nothing_repeated_is_all_article(spark):
+    df = spark.createDataFrame([("a", "One line\nAnother line here.", "extra")], "id string, text string, note string")
+    assert boilerplate.furniture(df).count() == 0
+    assert boilerplate.furniture(df.where("false")).count() == 0
 
-def test_long_furniture_and_long_runs_of_teasers():
-    long = "© 2020 Hill Press. All rights reserved, " + "and no part of the page may be used elsewhere, " * 5 + "says the owner."
-    menu = " | ".join(["Home", "Contact", "Archive", "Search", "Help"] * 7)
-    prose = "The mill stood by the river for years, " + "and nobody had repaired its wheel, " * 6 + "and the miller kept a ledger."
-    teasers = [f"{i} facts about the river wall" for i in range(12)] + ["The old wheel that Tom mended"]
-    lines = [menu, prose, "Related articles", *teasers, prose, long]
-    costs = dict(boilerplate.line_costs(lines))
-    assert len(long) > 200 < len(menu) and all((costs[i] > 0) == (lines[i] != prose) for i in range(len(lines)))
+
+def is_residue(text, furniture=()):
+    _, lines, stripped, _ = boilerplate.page_lines(text or "")
+    if not stripped:
+        return False
+    return residue.judge(residue.evidence(text, stripped), [s in furniture for s in stripped])
+
+
+@pytest.fixture(scope="module")
+def model(spark, small):
+    """Fitted on all texts of the smallest tables."""
+    tables = [queries.corpus_records(spark, small), queries.query_records(spark, small), spark.read.parquet(f"{small}/documents.parquet").select("text")]
+    return sentences.fit([r["text"] for t in tables for r in t.select("text").collect() if r["text"]])
+
+
+def units(text, model):
+    return sentences.units(text, model)
 
 
 @pytest.mark.parametrize("text", [None, "", "   ", "\n\n"])
 def test_nothing_in_no_text(text):
-    assert boilerplate.furniture_lines(text)[1:] == ([], [])
-    assert not residue.text_is_residue(text)
-    assert sentences.units(text) == ([], [])
+    assert not is_residue(text)
+    assert units(text, sentences.Model()) == ([], [])
     assert splitting.pieces(text or None) == ([] if not text else [(0, len(text))])
-    assert truncation.closing(text)[0] == truncation.COMPLETE
+    assert truncation.closing(text, sentences.Model())[0] == truncation.COMPLETE
 
 
-def cost_of(labels, costs, near):
+def cost_of(labels, costs, near, apart):
     total = sum(-c if x and c < 0 else c if not x and c > 0 else 0 for x, c in zip(labels, costs))
     total += sum(w for x, y, w in zip(labels, labels[1:], near) if x != y)
-    return total + sum(boilerplate.TWO_APART for x, y in zip(labels, labels[2:]) if x != y)
+    return total + sum(w for x, y, w in zip(labels, labels[2:], apart) if x != y)
 
 
 def test_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(300):
         n = rng.randint(1, 10)
-        costs, near = [rng.uniform(-1.5, 1.5) for _ in range(n)], [rng.choice([0.4, 0.7]) for _ in range(n - 1)]
-        best = min(cost_of([bool(m >> i & 1) for i in range(n)], costs, near) for m in range(1 << n))
-        assert cost_of(boilerplate.cut_labels(costs, near), costs, near) == pytest.approx(best)
+        page = [rng.uniform(-1.5, 1.5) for _ in range(n)], [rng.choice([0.4, 0.7, 1.2]) for _ in range(n - 1)], [0.25] * max(n - 2, 0)
+        best = min(cost_of([bool(m >> i & 1) for i in range(n)], *page) for m in range(1 << n))
+        assert cost_of(boilerplate.cut_labels(*page), *page) == pytest.approx(best)
 
 
 def test_long_undecided_parts_have_the_same_minimum(monkeypatch):
     rng = random.Random(4)
     for _ in range(50):
-        costs, near = [rng.uniform(-0.6, 0.6) for _ in range(40)], [0.7] * 39
-        flow = cost_of(boilerplate.cut_labels(costs, near), costs, near)
+        page = [rng.uniform(-0.6, 0.6) for _ in range(40)], [0.7] * 39, [0.25] * 38
+        flow = cost_of(boilerplate.cut_labels(*page), *page)
         monkeypatch.setattr(boilerplate, "LONG_PART", 1)
-        assert cost_of(boilerplate.cut_labels(costs, near), costs, near) == pytest.approx(flow)
+        assert cost_of(boilerplate.cut_labels(*page), *page) == pytest.approx(flow)
         monkeypatch.setattr(boilerplate, "LONG_PART", 300)
 
 
@@ -78,14 +100,14 @@ def test_long_undecided_parts_have_the_same_minimum(monkeypatch):
         "{{ page.title }}\n{{ page.body | safe }}",
         "__NAME__\n__TEXT_a__",
         "Lorem ipsum dolor sit amet magna aliqua. Sed eiusmod tempor incidunt ut labore.",
-        "Home / Help / Search\nPlease wait while we verify that you are human.\n9324fa2a0f57\n© 2016 Hill Press",
+        "Please wait while we verify that you are human.\n9324fa2a0f57",
         "The mill stood by the river for years and nobody cared. Dear {{first_name}}, the mill is closed. " + "It was sold in 1912 to a council. " * 20,
         "[TODO: add a paragraph on the mill]\n" + "It was sold in 1912 to a council. " * 20,
         "ページが見つかりません\nコード27ab",
     ],
 )
 def test_residue(text):
-    assert residue.text_is_residue(text)
+    assert is_residue(text)
 
 
 @pytest.mark.parametrize(
@@ -94,21 +116,20 @@ def test_residue(text):
         "The manual explains that {{ title }} marks the place of a headline. " + "It was sold in 1912 to a council. " * 20,
         "A 404 page is what visitors saw. " + "The words “Page not found” became a joke in town. " * 10,
         "Write it like this:\n```\nDear {{first_name}}\n```\n" + "It was sold in 1912 to a council. " * 20,
-        PAGE,
     ],
 )
 def test_talk_about_residue_is_none(text):
-    assert not residue.text_is_residue(text)
+    assert not is_residue(text)
 
 
 CASES = [
     ("Mr. Hall met Dr. Who at 5 p.m. He left.", ["Mr. Hall met Dr. Who at 5 p.m.", "He left."]),
-    ("“Stop! It is late!” shouted Tom. “It is.” More.", ["“Stop! It is late!” shouted Tom.", "“It is.”", "More."]),
+    ("“Stop! It is late!” shouted Tomkins. “It is.” More.", ["“Stop! It is late!” shouted Tomkins.", "“It is.”", "More."]),
     ("It failed ... and went. It was pH 3.68 there. pH rose.", ["It failed ... and went.", "It was pH 3.68 there.", "pH rose."]),
     ("2. Second item. More\n\n * x ", ["2. Second item.", "More", "* x"]),
     ("资料室说：“小心！水在上涨！”大约2名访客看到。“水在哪里？我看不见。”磨坊主说。", ["资料室说：“小心！水在上涨！”", "大约2名访客看到。", "“水在哪里？我看不见。”磨坊主说。"]),
     ("水位は4.5メートル。「どこだ。見えない」と言った。", ["水位は4.5メートル。", "「どこだ。見えない」と言った。"]),
-    ("แผนที่ ผู้คนราว 450 คน", ["แผนที่", "ผู้คนราว 450 คน"]),
+    ("แผนที่เปียกอยู่ในห้องสมุดเก่าของหมู่บ้าน ผู้คนราว 450 คนเห็นประตูน้ำไม้เป็นครั้งที่สาม", ["แผนที่เปียกอยู่ในห้องสมุดเก่าของหมู่บ้าน", "ผู้คนราว 450 คนเห็นประตูน้ำไม้เป็นครั้งที่สาม"]),
     ("In dem Jahr am 4. März kam er. „Wo? Ich weiß nicht“, sagte er.", ["In dem Jahr am 4. März kam er.", "„Wo? Ich weiß nicht“, sagte er."]),
     ("One (see p. 4) two. (All of it is here.) It fits one cap. Every cap.", ["One (see p. 4) two.", "(All of it is here.)", "It fits one cap.", "Every cap."]),
 ]
@@ -123,11 +144,11 @@ CASES = [
     ],
 )
 def test_dense_holes_without_talk_are_residue(text):
-    assert residue.text_is_residue(text)
+    assert is_residue(text)
 
 
 def test_dense_holes_of_a_tutorial_are_none():
-    assert not residue.text_is_residue("The syntax {{name}} is for names. " + "Then comes {{id}} of an order and {{town}} of a house. " * 10)
+    assert not is_residue("The syntax {{name}} is for names. " + "Then comes {{id}} of an order and {{town}} of a house. " * 10)
 
 
 UNCLOSED = [
@@ -140,37 +161,53 @@ UNCLOSED = [
 
 
 @pytest.mark.parametrize("text, want", UNCLOSED)
-def test_marks_that_never_close_do_not_hold_a_line_together(text, want):
-    assert [text[a:b] for a, b in zip(*sentences.units(text))] == want
+def test_marks_that_never_close_do_not_hold_a_line_together(model, text, want):
+    assert [text[a:b] for a, b in zip(*units(text, model))] == want
 
 
 @pytest.mark.parametrize("text, want", CASES)
-def test_sentence_units(text, want):
-    assert [text[a:b] for a, b in zip(*sentences.units(text))] == want
+def test_sentence_units(model, text, want):
+    assert [text[a:b] for a, b in zip(*units(text, model))] == want
 
 
 def test_posteriors_equal_enumeration():
     rng = random.Random(1)
-    import itertools
-    import math
-
     for _ in range(50):
         n = rng.randint(1, 7)
-        odds, tied = [rng.uniform(-3, 3) for _ in range(n)], [False] + [rng.random() < 0.5 for _ in range(n - 1)]
+        odds, far = [rng.uniform(-3, 3) for _ in range(n)], [rng.randint(0, 2) for _ in range(n)]
+        after = {(e, d): rng.uniform(-2, 2) for e in (0, 1) for d in range(3)}
         total, on = 0.0, [0.0] * n
         for states in itertools.product([0, 1], repeat=n):
-            p = math.exp(sum(o for o, s in zip(odds, states) if s) + sum(sentences.AFTER_EVENT for i in range(1, n) if tied[i] and states[i] and states[i - 1]))
+            p = math.exp(sum(odds[i] + after[states[i - 1] if i else 1, far[i]] for i in range(n) if states[i]))
             total += p
             for i, s in enumerate(states):
                 on[i] += p * s
-        assert sentences._posteriors(odds, tied) == pytest.approx([x / total for x in on])
+        assert sentences.posteriors(odds, far, after) == pytest.approx([x / total for x in on])
+
+
+def test_abbreviations_are_learned_and_neighbours_count():
+    rng = random.Random(5)
+    names = [a + b for a in ("Kal", "Mor", "Tun", "Bel", "Sar") for b in ("da", "vin", "tor", "mus", "lek", "nor")]
+    nouns = ["mill", "river", "wheel", "ledger", "bridge", "council", "harbour", "stone"]
+
+    def sentence():
+        who = f"Zgr. {rng.choice(names)}" if rng.random() < 0.5 else rng.choice(names)
+        return f"{who} sold the {rng.choice(nouns)} of the {rng.choice(nouns)}."
+
+    texts = ["\n".join(" ".join(sentence() for _ in range(5)) for _ in range(4)) for _ in range(60)]
+    model = sentences.fit(texts)
+    text = "Kalda saw the mill. Zgr. Mortor sold the wheel. Sarlek left."
+    assert [text[a:b] for a, b in zip(*sentences.units(text, model))] == ["Kalda saw the mill.", "Zgr. Mortor sold the wheel.", "Sarlek left."]
+    # the recursion decides a doubtful gap by its neighbour
+    after = {(e, d): (-3.0 if e and d == 0 else 0.0) for e in (0, 1) for d in range(6)}
+    assert sentences.posteriors([4.0, 0.5], [1, 0], after)[1] < 0.5 < sentences.posteriors([-4.0, 0.5], [1, 0], after)[1]
 
 
 def test_units_cover_all_visible_text():
     rng = random.Random(2)
     for _ in range(300):
         t = "".join(rng.choice("ab C.!? \n“”()。กข1") for _ in range(rng.randint(0, 60)))
-        starts, ends = sentences.units(t)
+        starts, ends = sentences.units(t, sentences.Model())
         assert all(a < b and not t[a].isspace() and not t[b - 1].isspace() and "\n" not in t[a:b] for a, b in zip(starts, ends))
         assert "".join(t[a:b] for a, b in zip(starts, ends)).replace(" ", "") == "".join(t.split())
 
@@ -198,7 +235,7 @@ def test_pieces_fit_cover_and_overlap():
     ("It ends here.\nAnd the river waited ...", truncation.COMPLETE),
     ("It ends here.\n```\nx = rank(a, 1)\n```", truncation.COMPLETE),
     ("It ends here.\nhttp://a.example/b", truncation.COMPLETE),
-    ("It ends here.\n- an item", truncation.BY_COPY),
+    ("It ends here.\n- an item", truncation.COMPLETE),
 ])
-def test_closing_words(text, verdict):
-    assert truncation.closing(text)[0] == verdict
+def test_closing_words(model, text, verdict):
+    assert truncation.closing(text, model)[0] == verdict
