@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import PARAGRAPH_BREAK, WS, prefix, strip, tokens
 
-#: Line that holds nothing but a section name, with an optional number.
+#: Fixed value: a line that holds nothing but a section name, with an optional number.
 SECTION_LINE = (
     rf"(?i)\n{WS}*(?:\d+\.?{WS}*)?(?:abstract|introduction|related{WS}*work|method|experiment|result|discussion|conclusion|reference|acknowledg){WS}*\n"
 )
+#: Where sentences are parted, in two versions and a plain one.
 SENTENCE_BREAK_V1 = rf"(?<=[.!?]){WS}+(?=[A-Z])|\n\n+"
 SENTENCE_BREAK_V2 = SENTENCE_BREAK_V1 + r"|\n(?=[A-Z][a-z])"
 SENTENCE_BREAK_PLAIN = rf"(?<=[.!?]){WS}+"

@@ -1,5 +1,4 @@
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,27 +6,38 @@ from pyspark.sql import functions as F
 from spanloom.operators import segment
 
 
-def pack(text, low=800, high=3000):
-    def rest(paras, held):
-        if not paras:
-            return [held] if len(held) > low else []
-        full = len(held) > low and len(held) + len(paras[0]) > high
-        following = paras[0] if full or not held else "\n\n".join([held, paras[0]])
-        return [held] * full + rest(paras[1:], following)
-
-    return rest([x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()], "") or [text[:high]]
-
-
 def run(spark, texts, make):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     return [r[1] for r in df.select("i", make(F.col("t"))).orderBy("i").collect()]
 
 
-def test_packing_matches_plain_python(spark):
+def test_packed_paragraphs_by_hand(spark):
+    a, b, c, d = "a" * 500, "b" * 400, "c" * 2200, "d" * 800
+    cases = {
+        f"{a}\n\n{b}": [f"{a}\n\n{b}"],
+        f"{a}\n\n{b}\n\n{c}\n\n{d}": [f"{a}\n\n{b}", f"{c}\n\n{d}"],  # 2,200 and 800 are not over 3,000
+        f"{c}c\n\n{d}": [f"{c}c"],  # 3,001 are, and a rest of 800 is too short for a chunk
+        f"{a}\n\n{b}\n\n{c}\n\n{d}d": [f"{a}\n\n{b}", c, f"{d}d"],  # 2,200 and 801 are over 3,000
+        f"{a}\n \n{c}c": [f"{a}\n\n{c}c"],
+        "x" * 5000: ["x" * 5000],
+        "": [""],
+        d: [d],
+    }
+    assert run(spark, list(cases), segment.pack_paragraphs) == list(cases.values())
+
+
+def test_packed_paragraphs_keep_order_and_size(spark):
     rng = random.Random(5)
-    texts = ["\n\n".join("x" * rng.choice([1, 50, 700, 801, 1600, 3001]) for _ in range(rng.randint(0, 30))) for _ in range(40)]
-    texts += ["", "a" * 5000, "b" * 800, "c" * 801, "\n\n".join(["d" * 1600] * 25), "\n\n".join(["d" * 1500] * 25)]
-    assert run(spark, texts, segment.pack_paragraphs) == [pack(t) for t in texts]
+    paras = [[c * rng.choice([1, 50, 700, 801, 1600, 3001]) for c in rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randint(1, 26))] for _ in range(40)]
+    for own, chunks in zip(paras, run(spark, ["\n\n".join(p) for p in paras], segment.pack_paragraphs)):
+        whole = "\n\n".join(own)
+        if chunks == [whole[:3000]] and len(whole) <= 3000:
+            continue
+        assert whole.startswith("\n\n".join(chunks)) and all(len(c) > 800 for c in chunks)
+        assert len(whole) - len("\n\n".join(chunks)) <= 802  # only a short end is left out
+        starts = [c[0] for c in chunks[1:]]
+        for chunk, first in zip(chunks, starts):
+            assert len(chunk) + len(own[[x[0] for x in own].index(first)]) > 3000  # none closes early
 
 
 @pytest.mark.parametrize("n, windows", [(2000, 1), (2001, 2), (3000, 2), (3001, 3), (60000, 20)])
@@ -48,22 +58,18 @@ def test_sections_need_bare_header_lines(spark):
     assert len(got) == 3
 
 
-def split_spans(text, pattern):
-    out, pos = [], 0
-    for part in (p.strip() for p in re.split(pattern, text)):
-        if part:
-            at = text.find(part, pos)
-            at = pos if at < 0 else at
-            out.append((at, at + len(part), part))
-            pos = at + len(part)
-    return out
-
-
 def test_sentence_spans_are_code_points(spark):
-    texts = ["  Ab. Cd! Ef?", "Same. Same. Same.", "😀 One. Two.\n\nThree\nFour go", "", "no end", "A. B. C. D"]
-    for breaks, pattern in ((segment.SENTENCE_BREAK_V1, r"(?<=[.!?])\s+(?=[A-Z])|\n\n+"), (segment.SENTENCE_BREAK_V2, r"(?<=[.!?])\s+(?=[A-Z])|\n\n+|\n(?=[A-Z][a-z])")):
-        got = run(spark, texts, lambda t, b=breaks: segment.sentence_spans(t, b))
-        assert [[tuple(s) for s in g] for g in got] == [split_spans(t, pattern) for t in texts]
+    cases = [
+        ("  Ab. Cd! Ef?", [(2, 5), (6, 9), (10, 13)], [(2, 5), (6, 9), (10, 13)]),
+        ("Same. Same. Same.", [(0, 5), (6, 11), (12, 17)], [(0, 5), (6, 11), (12, 17)]),
+        ("\U0001f600 One. two.\n\nThree\nFour go", [(0, 11), (13, 26)], [(0, 11), (13, 18), (19, 26)]),
+        ("", [], []),
+        ("no end", [(0, 6)], [(0, 6)]),
+    ]
+    for k, breaks in ((1, segment.SENTENCE_BREAK_V1), (2, segment.SENTENCE_BREAK_V2)):
+        got = run(spark, [c[0] for c in cases], lambda t, b=breaks: segment.sentence_spans(t, b))
+        assert [[(s.start, s.end) for s in g] for g in got] == [c[k] for c in cases]
+        assert all(c[0][s.start : s.end] == s.text for c, g in zip(cases, got) for s in g)
 
 
 def test_paragraph_spans_rebase_sentences(spark):
