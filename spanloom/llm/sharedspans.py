@@ -1,12 +1,14 @@
 """Problem 5: long exact spans shared between records, by window minimisers and hashes of windows.
 
-In place of a relative Lempel-Ziv factoring, windows are compared under their anchors. A factor of at least ``length`` code points contains a whole window of ``length``, and each window has one anchor: the
+A relative Lempel-Ziv parse of every document against every reference block would read all texts once for each block. In
+its place windows are compared under their anchors. A factor of at least ``length`` code points contains a whole window of ``length``, and each window has one anchor: the
 substring of ``ANCHOR`` code points with the least hash in it. Equal windows have equal anchors at equal places, so the
 index of reference blocks is keyed by anchor: the block of an anchor is the text under all windows that chose it.
 
 Records are factored block by block. Where the whole block stands in another record the factor runs through it, which
 its hash shows; only at factor boundaries, where the anchor is known elsewhere but the block as a whole is not, the
-texts of the blocks of that anchor are brought together and compared window by window. Touching and overlapping factors
+texts of the blocks of that anchor are brought together and compared window by window; those of an anchor that very many
+blocks share are compared by window hash instead, spread over all tasks. Touching and overlapping factors
 are joined to maximal stretches.
 
 Cases: null, empty and shorter texts have no rows; repeated rows of an id are one record, whose own repeats do not
@@ -117,8 +119,34 @@ def _boundary_windows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor bigint, rec bigint, a int, open boolean, block string")
 
 
-#: Bytes of blocks of several anchors that are compared at once; an anchor with more is still compared as a whole.
+#: Bytes of blocks of several anchors that are compared at once.
 _ROUND = 4_000_000
+#: An anchor with more blocks to compare is hot: its windows are compared by hash across tasks, so no task holds its blocks.
+HOT_BLOCKS = 2_000
+
+
+def _hot_windows(texts: DataFrame, length: int) -> DataFrame:
+    """(hash, rec, start, open) of all windows of the blocks of (rec, text, parts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, all_texts in text_batches(iter([batch])):
+                for rec, text, parts in zip(part.column(0).to_pylist(), all_texts, part.column(2).to_pylist()):
+                    hashes = Rolling(code_points([text])[0]).every(length).view(np.int64)
+                    for p in parts:
+                        own = hashes[p["a"] : p["b"] + 1]
+                        n = len(own)
+                        columns = [pa.array(own), pa.array(np.full(n, rec)), pa.array(np.arange(p["a"], p["b"] + 1, dtype=np.int32)), pa.array(np.full(n, p["open"]))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["hash", "rec", "start", "open"])
+
+    return texts.mapInArrow(run, "hash bigint, rec bigint, start int, open boolean")
+
+
+def _compare_hot(texts: DataFrame, length: int) -> DataFrame:
+    """(rec, start, end): windows of open blocks of hot anchors that another record has; counted before they are shuffled."""
+    windows = checkpointed(_hot_windows(texts, length))
+    known = windows.groupBy("hash").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("hash")
+    return windows.where("open").join(known, "hash", "left_semi").select("rec", "start", (F.col("start") + length).alias("end"))
 
 
 def _shared_runs(rec: np.ndarray, a: np.ndarray, is_open: np.ndarray, texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,11 +237,19 @@ def shared_spans(records: DataFrame, length: int = 300) -> DataFrame:
     # at factor boundaries: open blocks, and of each kind of settled ones two to hold them against, of different records
     is_open = ~F.col("settled")
     border = judged.where(~F.col("all_settled") & (is_open | F.col("lowest") | F.col("highest")))
-    border = border.select("rec", F.struct("anchor", "a", "b", is_open.alias("open")).alias("p"))
-    wanted = border.groupBy("rec").agg(F.collect_list("p").alias("parts"))
-    once = long.join(wanted.select("rec"), "rec", "left_semi").groupBy("rec").agg(F.first("text").alias("text"))
-    windows = _boundary_windows(once.join(wanted, "rec").select("rec", "text", "parts"), length)
-    spans = join_stretches(through.union(_compare(windows, length)))
+    border = border.select("anchor", "rec", F.struct("anchor", "a", "b", is_open.alias("open")).alias("p"))
+    hot = border.groupBy("anchor").count().where(F.col("count") > HOT_BLOCKS).select("anchor", F.lit(True).alias("hot"))
+    border = border.join(hot, "anchor", "left")
+    grouped = border.groupBy("rec").agg(
+        F.collect_list(F.when(F.col("hot").isNull(), F.col("p"))).alias("parts"), F.collect_list(F.when(F.col("hot"), F.col("p"))).alias("hot_parts")
+    )
+    wanted = checkpointed(grouped)
+    once = long.join(wanted.select("rec"), "rec", "left_semi").groupBy("rec").agg(F.first("text").alias("text")).join(wanted, "rec")
+    windows = _boundary_windows(once.where("size(parts) > 0").select("rec", "text", "parts"), length)
+    found = through.union(_compare(windows, length))
+    if not wanted.where("size(hot_parts) > 0").isEmpty():
+        found = found.union(_compare_hot(once.where("size(hot_parts) > 0").select("rec", "text", F.col("hot_parts").alias("parts")), length))
+    spans = join_stretches(found)
     names = long.select("id", "rec").distinct()
     return spans.join(names, "rec").select(F.col("id").alias("rec_id"), F.col("start").alias("start_char"), F.col("end").alias("end_char"))
 

@@ -89,6 +89,16 @@ def test_shared_spans_equal_brute_force(spark):
     assert shares["empty"].share == 0.0 and shares["self"].shared_chars == 0 and len(shares) == len({i for i, _ in rows})
 
 
+def test_a_notice_on_very_many_pages(spark, monkeypatch):
+    rng = random.Random(15)
+    notice = words(rng, 70)
+    rows = [(f"p{i:04}", f"{words(rng, 25)} {notice} {words(rng, 25)}") for i in range(300)]
+    want = brute_spans(dict(rows), 300)
+    monkeypatch.setattr(sharedspans, "HOT_BLOCKS", 50)
+    got = sharedspans.shared_spans(records(spark, rows)).collect()
+    assert {tuple(r) for r in got} == want and len(want) == 300
+
+
 def test_shared_spans_of_nothing(spark):
     assert sharedspans.shared_spans(records(spark, [])).count() == 0
     with pytest.raises(ValueError):
