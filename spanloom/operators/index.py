@@ -16,12 +16,14 @@ UNIT = 1e-12
 
 @dataclass
 class Index:
-    """postings(term, doc_id, tf, dl), terms(term, df, idf), stats(n_docs, avgdl); ``lengths`` is (doc_id, dl)."""
+    """postings(term, doc_id, tf, dl), terms(term, df, idf), stats(n_docs, avgdl); ``lengths`` is (doc_id, dl), ``words``
+    (doc_id, dl, words) with the tokens of a document in order, parted by single blanks."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     lengths: DataFrame
+    words: DataFrame
 
 
 def document_lengths(docs: DataFrame) -> DataFrame:
@@ -40,14 +42,16 @@ def scalar(stats: DataFrame, name: str) -> Column:
 
 
 def build_index(docs: DataFrame) -> Index:
-    """Index of (doc_id, text), one row a document. One shuffle by (document, term) counts, one by term joins."""
+    """Index of (doc_id, text), one row a document. Documents are counted by term without postings, which are made only
+    where they are asked for."""
     lengths = document_lengths(docs)
     stats = collection_stats(lengths)
     tok = docs.select("doc_id", tokens(F.col("text")).alias("tok"))
     tf = tok.select("doc_id", F.size("tok").alias("dl"), F.explode("tok").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = tok.select(F.explode(F.array_distinct("tok")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     terms = df.withColumn("idf", idf(F.col("df"), scalar(stats, "n_docs")))
-    return Index(tf.select("term", "doc_id", "tf", "dl"), terms, stats, lengths)
+    words = tok.select("doc_id", F.size("tok").alias("dl"), F.array_join("tok", " ").alias("words"))
+    return Index(tf.select("term", "doc_id", "tf", "dl"), terms, stats, lengths, words)
 
 
 def prune_by_ratio(index: Index, ratio: float = 0.3) -> DataFrame:
