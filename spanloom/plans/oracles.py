@@ -64,15 +64,16 @@ def search(terms: str, limit: str, keys: str = "qid", qtf: str = "1", top: str =
   found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE {top})"""
 
 
-def segmented(packed: str, max_df: int | None, terms: tuple[int, int], lists: tuple[int, int], vote: str) -> str:
+def segmented(packed: str, max_df: int | None, terms: tuple[int, int], lists: tuple[int, int], vote: str, at_most: int = 0, last: int = 10) -> str:
     kept = "SELECT * FROM t" + (f" WHERE df <= {max_df}" if max_df else "")
+    cut = f"chunks[1:{at_most}]" if at_most else "chunks"
     return f"""WITH RECURSIVE {CORPUS}, {ASKED}, {INDEX}, {packed},
-  parts AS (SELECT qid, CASE WHEN len(chunks[1:20]) > 1 THEN chunks[1:20] ELSE [text] END AS p FROM packed),
+  parts AS (SELECT qid, CASE WHEN len({cut}) > 1 THEN {cut} ELSE [text] END AS p FROM packed),
   asked AS (SELECT qid, len(p) AS n_chunks, unnest(range(len(p))) AS chunk_no, unnest(p) AS text FROM parts),
   {search(kept, f'term_rank <= CASE WHEN n_chunks > 1 THEN {terms[1]} ELSE {terms[0]} END', 'qid, n_chunks, chunk_no', top=f'rank <= CASE WHEN n_chunks > 1 THEN {lists[1]} ELSE {lists[0]} END')},
   votes AS ({vote}),
   final AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM votes)
-  SELECT * FROM final WHERE rank <= 10"""
+  SELECT * FROM final WHERE rank <= {last}"""
 
 
 COVERAGE = """SELECT qid, doc_id, round((s * (1 + m / n_chunks))::DECIMAL(24, 9), 6)::DOUBLE AS score FROM
@@ -103,6 +104,12 @@ def tagged(tag: str, name: str) -> str:
     SELECT 'ndcg' AS metric, k, ndcg AS value FROM ndcg UNION ALL SELECT 'recall', k, recall FROM recall UNION ALL SELECT 'mrr', 0, mrr FROM mrr UNION ALL SELECT 'map', 0, map FROM map)"""
 
 
+def reported(found: str, name: str) -> str:
+    """One select of the metric table of the rows (qid, doc_id, score) that another query finds."""
+    return f"""{name} AS (WITH r AS (SELECT qid, doc_id, score FROM ({found})), {RANKED}, {QRELS}, {KS}, {NDCG}, {RECALL}, {MRR}, {MAP}
+    SELECT 'ndcg' AS metric, k, ndcg AS value FROM ndcg UNION ALL SELECT 'recall', k, recall FROM recall UNION ALL SELECT 'mrr', 0, mrr FROM mrr UNION ALL SELECT 'map', 0, map FROM map)"""
+
+
 def single(run: str, both: bool) -> str:
     truth = "truth AS (SELECT qid, max(doc_id) AS doc_id FROM j WHERE rel > 0 GROUP BY qid" + (" HAVING qid IN (SELECT qid FROM r))" if both else ")")
     mean = lambda x: f"round(avg(({x})::DECIMAL(20, 12)), 6)"
@@ -112,6 +119,19 @@ def single(run: str, both: bool) -> str:
   FROM truth LEFT JOIN rr USING (qid, doc_id)"""
 
 
+def encoded(rows: str, out: str, key: str) -> str:
+    """CTE ``out`` (key, v): the hashed bag of words of ``rows`` (key, text), of length 1; word counts over 256 places."""
+    return f"""{out}_w AS (SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS p FROM (SELECT {key}, unnest({toks('text')}) AS w FROM ({rows}))),
+  {out}_c AS (SELECT {key}, p, count(*) AS n FROM {out}_w GROUP BY ALL), {out}_n AS (SELECT {key}, sqrt(sum(n * n)::DOUBLE) AS norm FROM {out}_c GROUP BY ALL),
+  {out} AS (SELECT {key}, p, n / norm AS x FROM {out}_c JOIN {out}_n USING ({key}))"""
+
+
+TEXT_VECTORS = f"""{encoded("SELECT doc_id AS qid, 'query: ' || text AS text FROM c WHERE doc_id % 50 = 0", 'eq', 'qid')},
+  {encoded("SELECT doc_id, 'passage: ' || text AS text FROM c", 'ed', 'doc_id')},
+  met AS (SELECT qid, doc_id, sum(eq.x * ed.x) AS s FROM eq JOIN ed USING (p) WHERE qid <> doc_id GROUP BY ALL),
+  sims AS (SELECT a.doc_id AS qid, b.doc_id, round(coalesce(s, 0), 6) AS score FROM c a JOIN c b ON a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id LEFT JOIN met ON met.qid = a.doc_id AND met.doc_id = b.doc_id)"""
+
+
 VECTORS = """qv AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0),
   sims AS (SELECT qid, vec_id AS doc_id, label AS grp, round(list_dot_product(a, embedding::DOUBLE[]), 6) AS score FROM qv, embeddings WHERE vec_id <> qid)"""
 
@@ -190,7 +210,7 @@ SQL: dict[str, str] = {
       {search('SELECT * FROM t WHERE df <= floor((SELECT n FROM st) * 0.3e0)', 'true', qtf='qtf')} SELECT * FROM found""",
     "bm25_top100_candidates": f"""WITH {CORPUS}, {ASKED}, {INDEX}, asked AS (SELECT * FROM q), {search('SELECT * FROM t', 'term_rank <= 100', top='rank <= 100')}
       SELECT found.qid, length(substr(q.text, 1, 3000)) AS query_chars, rank - 1 AS no, found.doc_id, round(score::DECIMAL(18, 6), 4)::DOUBLE AS bm25_score, md5(substr(c.text, 1, 1500)) AS digest FROM found JOIN q USING (qid) JOIN c USING (doc_id)""",
-    "bm25_segmented_coverage": segmented(pack(800, 3000), 5000, (100, 20), (10, 50), COVERAGE),
+    "bm25_segmented_coverage": segmented(pack(800, 3000), 5000, (100, 20), (10, 50), COVERAGE, 20),
     "bm25_segmented_rrf": segmented(pack(800, 3000), None, (50, 50), (10, 50), RRF),
     "bm25_segmented_max": segmented(WINDOWS, None, (50, 50), (10, 50), BEST),
     "decompose_max_rr": segmented(pack(500, 3000), None, (100, 100), (10, 50), BEST_RR),
@@ -199,13 +219,29 @@ SQL: dict[str, str] = {
     "dense_composite": f"""WITH {VECTORS}, five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, grp ORDER BY score DESC, doc_id) AS n FROM sims) WHERE n <= 5),
       pooled AS (SELECT qid, grp::BIGINT AS doc_id, round(0.5e0 * max(score) + 0.3e0 * avg(score::DECIMAL(18, 9)) + CASE WHEN max(score) > 0.7e0 THEN 0.2e0 ELSE 0 END, 6) AS score FROM five GROUP BY ALL) {top('pooled', 10)}""",
     "hybrid_rrf": f"""WITH {DOCS}, {INDEX}, asked AS (SELECT doc_id AS qid, text FROM c WHERE doc_id % 50 = 0), {search('SELECT * FROM t', 'term_rank <= 100', top='rank <= 100')},
-      {VECTORS}, dense AS ({top('sims', 100)}), both_q AS (SELECT DISTINCT qid FROM found WHERE qid IN (SELECT qid FROM dense)),
+      {TEXT_VECTORS}, dense AS ({top('sims', 100)}), both_q AS (SELECT DISTINCT qid FROM found WHERE qid IN (SELECT qid FROM dense)),
       u AS (SELECT coalesce(f.qid, d.qid) AS qid, coalesce(f.doc_id, d.doc_id) AS doc_id, coalesce(f.score, 0) AS s, coalesce(d.rank, 200) AS dr
         FROM (SELECT * FROM found WHERE qid IN (SELECT qid FROM both_q)) f FULL JOIN (SELECT * FROM dense WHERE qid IN (SELECT qid FROM both_q)) d ON f.qid = d.qid AND f.doc_id = d.doc_id),
       v AS (SELECT qid, doc_id, round(1e0 / (20 + row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id)) + 1e0 / (20 + dr), 9) AS score FROM u) {top('v', 10)}""",
-    "dense_jaccard_rerank": f"""WITH {DOCS}, {VECTORS}, cand AS ({top('sims', 100)}), tk AS (SELECT doc_id, list_distinct({toks('text')}) AS t FROM c),
+    "dense_jaccard_rerank": f"""WITH {DOCS}, {TEXT_VECTORS}, cand AS ({top('sims', 100)}), tk AS (SELECT doc_id, list_distinct({toks('text')}) AS t FROM c),
       p AS (SELECT cand.qid, cand.doc_id, cand.score AS ip, coalesce(a.t, []) AS x, coalesce(b.t, []) AS y FROM cand LEFT JOIN tk a ON a.doc_id = cand.qid LEFT JOIN tk b ON b.doc_id = cand.doc_id),
       v AS (SELECT qid, doc_id, round(ip * (1 + 2.0e0 * CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) ELSE 0 END), 6) AS score FROM p) {top('v', 10)}""",
+    "dense_window_maxpool": f"""WITH {DOCS}, tk AS (SELECT doc_id, text, {toks('text')} AS t FROM c),
+      wi AS (SELECT doc_id, unnest(range(len(ch))) AS no, unnest(ch) AS text FROM (SELECT doc_id, CASE WHEN len(t) <= 256 THEN [substr(text, 1, 3000)]
+        ELSE list_transform(range(0, len(t), 128), lambda i: array_to_string(t[i + 1 : i + 256], ' ')) END AS ch FROM tk)),
+      {encoded("SELECT doc_id AS qid, 'query: ' || text AS text FROM c WHERE doc_id % 50 = 0", 'eq', 'qid')},
+      {encoded("SELECT doc_id * 10000 + no AS part, 'passage: ' || text AS text FROM wi", 'ew', 'part')},
+      met AS (SELECT qid, part, round(sum(eq.x * ew.x), 6) AS s FROM eq JOIN ew USING (p) GROUP BY ALL),
+      pooled AS (SELECT a.doc_id AS qid, b.doc_id, max(coalesce(s, 0)) AS score FROM c a JOIN wi b ON a.doc_id % 50 = 0 LEFT JOIN met ON met.qid = a.doc_id AND part = b.doc_id * 10000 + b.no GROUP BY ALL) {top('pooled', 10)}""",
+    "encoded_documents": f"""WITH {CORPUS}, {encoded("SELECT doc_id, 'passage: ' || text AS text FROM c", 'ed', 'doc_id')}
+      SELECT doc_id, 256 AS dim, round(sum(x), 6) AS total, round(max(x), 6) AS most FROM ed GROUP BY doc_id""",
+    "bm25_export100": f"""WITH {CORPUS}, {ASKED}, {INDEX}, asked AS (SELECT qid, substr(text, 1, 2000) AS text FROM q),
+      {search('SELECT * FROM t WHERE df <= floor((SELECT n FROM st) * 0.3e0)', 'true', qtf='qtf', top='rank <= 100')} SELECT * FROM found""",
+    "bm25_segment_full": segmented(pack(800, 3000, 'packed0') + ", packed AS (SELECT qid, text, CASE WHEN length(text) > 20000 THEN chunks ELSE [text] END AS chunks FROM packed0)", None, (30, 30), (10, 30), COVERAGE),
+    "bm25_compare": segmented(pack(800, 3000), 5000, (50, 20), (100, 50), COVERAGE, 20, 100),
+    "bm25_segment_eval": segmented(pack(800, 3000), None, (50, 50), (100, 50), RRF, 0, 100),
+    "length_gated_20000": f"""WITH RECURSIVE {ASKED}, {pack(800, 3000)}, gated AS (SELECT qid, CASE WHEN length(text) > 20000 THEN chunks ELSE [text] END AS chunks FROM packed) {CHUNK_ROWS.format(src='gated')}""",
+    "prune_max_df_5000": f"WITH {CORPUS}, {INDEX} SELECT term, df FROM t WHERE df <= 5000",
     "pair_scorer_rerank": f"""WITH {CORPUS}, {ASKED}, {RUN}, a AS (SELECT qid, list_distinct({toks('text')}) AS x FROM q), b AS (SELECT doc_id, list_distinct({toks('text')}) AS y FROM c),
       v AS (SELECT qid, doc_id, CASE WHEN len(x) > 0 AND len(y) > 0 THEN round(len(list_intersect(x, y)) / len(x), 6) ELSE 0 END AS score FROM r JOIN a USING (qid) JOIN b USING (doc_id)) {top('v', 10)}""",
     "blind_queries": f"WITH {RUN}, {RANKED}, {QRELS} SELECT qid, max(doc_id) AS doc_id FROM j WHERE rel > 0 GROUP BY qid HAVING (qid, max(doc_id)) NOT IN (SELECT (qid, doc_id) FROM rr WHERE rank <= 10)",
@@ -233,3 +269,6 @@ SQL: dict[str, str] = {
     "trec_qrels_lines": f"WITH {QRELS} SELECT printf('%s 0 %s %d', qid, doc_id, rel) AS value FROM j",
     "run_top_k": f"WITH {RUN}, {RANKED} SELECT qid, doc_id, score, rank FROM rr WHERE rank <= 2",
 }
+
+SQL["own_run_delta"] = f"""WITH {reported(SQL['bm25_segmented_coverage'], 'a')}, {reported(SQL['bm25_set_top10'], 'b')}
+  SELECT metric, k, a.value, b.value AS baseline, round(a.value - b.value, 6) AS delta FROM a JOIN b USING (metric, k)"""

@@ -147,6 +147,11 @@ def length_gated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_rows(asked(spark, sf_dir), segment.length_gated(F.col("text"), 6000))
 
 
+@query
+def length_gated_20000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_rows(asked(spark, sf_dir), segment.length_gated(F.col("text")))
+
+
 def _span_rows(df: DataFrame, breaks: str) -> DataFrame:
     spans = df.select("doc_id", F.posexplode(segment.sentence_spans(F.col("text"), breaks)).alias("no", "s"))
     return spans.select("doc_id", F.col("no").cast("bigint").alias("no"), F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"), F.md5("s.text").alias("digest"))
@@ -165,7 +170,7 @@ def sentence_spans_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = corpus(spark, sf_dir).select("doc_id", F.posexplode(segment.paragraph_spans(F.col("text"))).alias("no", "s"))
-    return spans.select("doc_id", "no", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    return spans.select("doc_id", F.col("no").cast("bigint").alias("no"), F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"))
 
 
 # Index
@@ -207,6 +212,11 @@ def prune_max_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.prune_by_df(corpus_index(spark, sf_dir), 500).select("term", "df")
 
 
+@query
+def prune_max_df_5000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.prune_by_df(corpus_index(spark, sf_dir)).select("term", "df")
+
+
 @query
 def posting_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = corpus_index(spark, sf_dir)
@@ -251,6 +261,39 @@ def _segmented(spark: SparkSession, sf_dir: str, name: str, vote: str, segments=
     return _run_columns(retrieve.segmented_search(asked(spark, sf_dir), corpus_index(spark, sf_dir), retrieve.CONFIGS[name], segments, vote))
 
 
+def _gated(text: Column) -> Column:
+    return segment.length_gated(text)
+
+
+@query
+def bm25_export100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_columns(retrieve.bm25_search(asked(spark, sf_dir), corpus_index(spark, sf_dir), retrieve.CONFIGS["export100"]))
+
+
+@query
+def bm25_segment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir, "segment_full", "coverage", _gated)
+
+
+@query
+def bm25_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir, "compare", "coverage")
+
+
+@query
+def bm25_segment_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir, "segment_eval", "rrf")
+
+
+@query
+def own_run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segmented search against whole-text search, both by this engine, over the judgements."""
+    docs, queries_ = corpus_index(spark, sf_dir), asked(spark, sf_dir)
+    whole = retrieve.bm25_search(queries_, docs, retrieve.CONFIGS["indexed"]).select("qid", "doc_id", "score")
+    parts = retrieve.segmented_search(queries_, docs, retrieve.CONFIGS["submit"], segment.pack_paragraphs).select("qid", "doc_id", "score")
+    return evaluate.run_delta(parts, whole, judgements(spark, sf_dir))
+
+
 @query
 def bm25_segmented_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(spark, sf_dir, "submit", "coverage")
@@ -301,20 +344,32 @@ def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "text"), d
 
 
+def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(queries, documents, query vectors, document vectors) of one population of texts."""
+    queries_, docs = _documents(spark, sf_dir)
+    vectors = lambda df, key, prefix: dense.encode(df, prefix=prefix).select(key, "embedding")
+    return queries_, docs, vectors(queries_, "qid", "query: "), vectors(docs, "doc_id", "passage: ")
+
+
 @query
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries_, docs = _documents(spark, sf_dir)
+    queries_, docs, q, d = _encoded(spark, sf_dir)
     sparse = retrieve.bm25_search(queries_, index.build_index(docs), retrieve.CONFIGS["top100"])
-    return _run_columns(fuse.fuse_rrf(sparse, dense.dense_search(*_vectors(spark, sf_dir), top_k=100)))
+    return _run_columns(fuse.fuse_rrf(sparse, dense.dense_search(q, d, top_k=100)))
 
 
 @query
 def dense_jaccard_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, d = _vectors(spark, sf_dir)
-    queries_, docs = _documents(spark, sf_dir)
+    queries_, docs, q, d = _encoded(spark, sf_dir)
     return _run_columns(dense.rerank_dense_jaccard(dense.dense_search(q, d, top_k=100), q, d, queries_, docs))
 
 
+@query
+def dense_window_maxpool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries_, docs, q, _ = _encoded(spark, sf_dir)
+    return _run_columns(dense.chunk_max_pool(q, dense.windowed_vectors(docs)))
+
+
 @query
 def pair_scorer_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
@@ -324,7 +379,7 @@ def pair_scorer_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.encode(corpus(spark, sf_dir), prefix="passage: ").select("doc_id", F.size("embedding").alias("dim"), F.round(fn.inner_product(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))
+    return dense.encode(corpus(spark, sf_dir), prefix="passage: ").select("doc_id", F.size("embedding").cast("bigint").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v), 6).alias("total"), F.round(F.array_max("embedding"), 6).alias("most"))
 
 
 # Filters, joins, overrides
