@@ -7,6 +7,7 @@ and is tested against plain Python instead.
 from __future__ import annotations
 
 from spanloom.functions.text import WS
+from spanloom.operators.rewrite import ABSTRACT, SECTION, STOP_WORDS
 
 CORPUS = """c AS (SELECT coalesce(nullif(doc_id, ''), nullif(qid, '')) AS doc_id, any_value(coalesce(nullif(default_text, ''), nullif(query, ''), '')) AS text
   FROM corpus WHERE coalesce(nullif(doc_id, ''), nullif(qid, '')) IS NOT NULL GROUP BY 1)"""
@@ -272,3 +273,67 @@ SQL: dict[str, str] = {
 
 SQL["own_run_delta"] = f"""WITH {reported(SQL['bm25_segmented_coverage'], 'a')}, {reported(SQL['bm25_set_top10'], 'b')}
   SELECT metric, k, a.value, b.value AS baseline, round(a.value - b.value, 6) AS delta FROM a JOIN b USING (metric, k)"""
+
+_SENTENCES = lambda src, key: f"""(SELECT {key}, unnest(range(len(ps))) AS no, unnest(ps) AS text FROM (SELECT {key},
+  list_filter(list_transform(string_split({_M3}, chr(1)), lambda p: {strip('p')}), lambda p: p <> '') AS ps FROM {src}) WHERE len(ps) >= 2)"""
+SQL["align_marked_sentences"] = f"""WITH {CORPUS}, {ASKED}, {RUN}, sa AS {_SENTENCES('q', 'qid')}, sb AS {_SENTENCES('c', 'doc_id')},
+  ta AS (SELECT qid, no AS i, len(t) AS na, unnest(t) AS tok FROM (SELECT qid, no, list_distinct({toks('text')}) AS t FROM sa)),
+  tb AS (SELECT doc_id, no AS j, len(t) AS nb, unnest(t) AS tok FROM (SELECT doc_id, no, list_distinct({toks('text')}) AS t FROM sb)),
+  cs AS (SELECT r.qid, r.doc_id, i, j, round(count(*) / sqrt(any_value(na) * any_value(nb)), 9) AS cos FROM r JOIN ta ON ta.qid = r.qid JOIN tb ON tb.doc_id = r.doc_id AND tb.tok = ta.tok GROUP BY ALL),
+  pl AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id, i ORDER BY cos DESC, j) AS place FROM cs),
+  ga AS (SELECT qid, no AS i, {grams('text')} AS x FROM sa), gb AS (SELECT doc_id, no AS j, {grams('text')} AS y FROM sb),
+  jc AS (SELECT pl.qid, pl.doc_id, pl.i, pl.j, CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) ELSE 0 END AS jac
+    FROM pl JOIN ga ON ga.qid = pl.qid AND ga.i = pl.i JOIN gb ON gb.doc_id = pl.doc_id AND gb.j = pl.j WHERE place <= 20 AND cos * 1.5e0 >= 0.7e0 - 1e-6),
+  s AS (SELECT pl.qid, pl.doc_id, pl.i, pl.j, CASE WHEN jac IS NULL THEN cos ELSE round(cos * (1 + 0.5e0 * jac), 9) END AS score FROM pl LEFT JOIN jc ON (pl.qid, pl.doc_id, pl.i, pl.j) = (jc.qid, jc.doc_id, jc.i, jc.j)),
+  best AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id, i ORDER BY score DESC, j) AS a, first_value(i) OVER (PARTITION BY qid, doc_id, j ORDER BY score DESC, i) AS back FROM s)
+  SELECT qid, doc_id AS src, i, j, round(score, 6) AS score FROM best WHERE a = 1 AND score >= 0.7e0 AND abs(back - i) <= 5"""
+
+_PARAS = f"list_filter(list_transform(string_split_regex(text, '\\n{WS}*\\n'), lambda p: {strip('p')}), lambda p: p <> '')"
+SQL["paragraph_spans"] = f"""WITH RECURSIVE {CORPUS}, cut AS (SELECT doc_id, text, {_PARAS} AS ps FROM c),
+  walk AS (SELECT doc_id, 0 AS i, 0::BIGINT AS s, 0::BIGINT AS pos FROM cut UNION ALL
+    SELECT doc_id, i + 1, pos + greatest(f, 1) - 1, pos + greatest(f, 1) - 1 + length(p) FROM (SELECT w.*, ps[i + 1] AS p, instr(substr(text, pos + 1), ps[i + 1]) AS f FROM walk w JOIN cut USING (doc_id) WHERE i < len(ps))),
+  para AS (SELECT doc_id, i - 1 AS i, s, ps[i] AS text FROM walk JOIN cut USING (doc_id) WHERE i > 0),
+  inner_ AS (SELECT doc_id, i, s, text, CASE WHEN length(text) > 500 THEN list_filter(list_transform(string_split({_M2}, chr(1)), lambda p: {strip('p')}), lambda p: p <> '') ELSE [text] END AS ps FROM para),
+  walk2 AS (SELECT doc_id, i, 0 AS k, 0::BIGINT AS a, 0::BIGINT AS e FROM inner_ UNION ALL
+    SELECT doc_id, i, k + 1, e + greatest(f, 1) - 1, e + greatest(f, 1) - 1 + length(p) FROM (SELECT w.*, ps[k + 1] AS p, instr(substr(text, e + 1), ps[k + 1]) AS f FROM walk2 w JOIN inner_ USING (doc_id, i) WHERE k < len(ps)))
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS no, s + a AS start, s + e AS "end" FROM walk2 JOIN inner_ USING (doc_id, i) WHERE k > 0"""
+
+_WORDS = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{Nl}}\p{{M}}\p{{Nd}}\p{{Pc}}\x{{200c}}\x{{200d}}]{{2,}}')"
+
+
+def words(x: str) -> str:
+    return f"list_filter({_WORDS.format(x=x)}, lambda w: NOT list_contains({STOP_WORDS!r}, w))"
+
+
+def rewritten(rows: str) -> str:
+    """The columns of rewritten queries (qid, t)."""
+    return f"SELECT qid, length(t) AS n, md5(t) AS digest FROM ({rows})"
+
+
+SQL["rewrite_keywords"] = f"""WITH {ASKED}, w AS (SELECT qid, w, count(*) AS tf FROM (SELECT qid, unnest({words('text')}) AS w FROM q) GROUP BY ALL),
+  k AS (SELECT qid, w, row_number() OVER (PARTITION BY qid ORDER BY tf DESC, w) AS place FROM w),
+  l AS (SELECT qid, array_to_string(list_sort(list(w)), ' ') AS k FROM k WHERE place <= 500 GROUP BY qid)
+  {rewritten("SELECT qid, substr(coalesce(k, text), 1, 3000) AS t FROM q LEFT JOIN l USING (qid)")}"""
+SQL["rewrite_tfidf_sentences"] = f"""WITH {ASKED}, p AS (SELECT qid, text, string_split(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)) AS sents FROM q),
+  lo AS (SELECT qid, text, sents, len(sents) AS ns FROM p WHERE len(sents) > 20),
+  u AS (SELECT qid, ns, unnest(range(ns)) AS no, unnest(sents) AS sent FROM lo),
+  un AS (SELECT * FROM u UNION ALL SELECT qid, ns, -1, text FROM lo),
+  tf AS (SELECT qid, ns, no, w, count(*) AS tf FROM (SELECT qid, ns, no, unnest({words('sent')}) AS w FROM un) GROUP BY ALL),
+  df AS (SELECT qid, w, count(*) AS df FROM tf GROUP BY ALL),
+  we AS (SELECT qid, no, w, tf * (ln((ns + 2e0) / (df + 1e0)) + 1) AS x FROM tf JOIN df USING (qid, w)),
+  nm AS (SELECT qid, no, sqrt(sum((x * x)::DECIMAL(24, 12))::DOUBLE) AS norm FROM we GROUP BY ALL),
+  dt AS (SELECT a.qid, a.no, sum((a.x * b.x)::DECIMAL(24, 12))::DOUBLE AS dot FROM we a JOIN we b ON a.qid = b.qid AND a.w = b.w AND b.no = -1 AND a.no >= 0 GROUP BY ALL),
+  si AS (SELECT qid, no, round(dot / norm, 9) AS sim FROM dt JOIN nm USING (qid, no)),
+  pl AS (SELECT u.qid, u.no, sent, row_number() OVER (PARTITION BY u.qid ORDER BY coalesce(sim, 0) DESC, u.no) AS place FROM u LEFT JOIN si USING (qid, no)),
+  a AS (SELECT qid, substr(string_agg(sent, ' ' ORDER BY no), 1, 3000) AS t FROM pl WHERE place <= 20 GROUP BY qid)
+  {rewritten("SELECT * FROM a UNION ALL SELECT qid, substr(text, 1, 3000) FROM p WHERE len(sents) <= 20")}"""
+SQL["rewrite_structured"] = f"""WITH {ASKED}, f AS (SELECT qid, text, list_filter(string_split(text, chr(10))[1:5], lambda x: length({strip('x')}) > 10)[1] AS title,
+    list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: length(x) > 100)[1] AS para,
+    CASE WHEN regexp_matches(text, '{ABSTRACT}') THEN 'Abstract: ' || substr({strip(f"regexp_extract(text, '{ABSTRACT}', 1)")}, 1, 1000) END AS abstract,
+    list_filter(list_transform(regexp_extract_all(text, '{SECTION}', 1), lambda x: {strip('x')}), lambda x: length(x) > 5) AS heads FROM q),
+  j AS (SELECT qid, text, substr(array_to_string(list_concat(list_filter([title, coalesce(abstract, substr(para, 1, 1000))], lambda x: x IS NOT NULL), list_transform(heads, lambda x: '[Section: ' || x || ']')), ' '), 1, 3000) AS t FROM f)
+  {rewritten("SELECT qid, CASE WHEN length(t) < 200 THEN substr(text, 1, 3000) ELSE t END AS t FROM j")}"""
+SQL["resolved_missing"] = f"""WITH {CORPUS}, pages AS (SELECT value, any_value(c.text) AS text FROM missing_sources m JOIN c ON c.doc_id = m.source_doc_id
+    WHERE m.source_doc_id NOT IN (SELECT source_doc_id FROM fetch_errors WHERE source_doc_id IS NOT NULL) GROUP BY value),
+  w AS (SELECT DISTINCT source_doc_id, type, value FROM missing_sources), j AS (SELECT w.*, pages.text IS NULL AS absent, {_CLEAN} AS t FROM w LEFT JOIN pages USING (value))
+  SELECT source_doc_id, CASE WHEN length(t) > 50 THEN 'ok' WHEN absent THEN 'not fetched' ELSE 'empty body' END AS state, CASE WHEN length(t) > 50 THEN length(t) ELSE 0 END AS n FROM j"""

@@ -466,6 +466,14 @@ def align_blocks_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_pairs(_pairs(spark, sf_dir), asked(spark, sf_dir), corpus(spark, sf_dir), align.V1)
 
 
+@query
+def align_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best document of BM25 for each query, and the blocks that it shares with it."""
+    docs, queries_ = corpus(spark, sf_dir), asked(spark, sf_dir)
+    run = retrieve.bm25_search(queries_, index.build_index(docs), retrieve.CONFIGS["indexed"])
+    return align.retrieve_and_align(run, queries_, docs)
+
+
 def _windows(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("n_chars >= 400").select(F.col("doc_id").alias("qid"), "n_chars")
     at = (F.col("qid") * 37) % (F.col("n_chars") - 300)
