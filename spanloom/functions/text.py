@@ -100,6 +100,11 @@ def parse_source_url(url: Column) -> Column:
     return F.struct(kind.alias("type"), value.alias("value"))
 
 
+def text_name(name: Column) -> Column:
+    """Name of the text file that belongs to a page: ``x.html`` gives ``x.txt``."""
+    return F.concat(F.regexp_replace(name, r"\.html\z", ""), F.lit(".txt"))
+
+
 def document_number(name: Column) -> Column:
     """Number in a suspicious document's file name, else null."""
     return F.regexp_extract(name, r"suspicious-document(\d+)-batch", 1).try_cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import clean_html, document_number, parse_source_url, repair_json, source_key, stable_id
+from spanloom.functions.text import clean_html, parse_source_url, source_key, stable_id
 
 
 def collection_ids(files: DataFrame, corpus: str) -> DataFrame:
@@ -63,17 +63,3 @@ def referenced_documents(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     cited = qrels.select("doc_id").distinct()
     marked = cited.join(corpus.select("doc_id").distinct().withColumn("here", F.lit(1)), "doc_id", "left")
     return marked.agg(F.count("*").alias("n_cited"), F.count("here").alias("n_present"), F.count_if(F.col("here").isNull()).alias("n_absent"))
-
-
-__all__ = [
-    "clean_html",
-    "collection_ids",
-    "collection_statistics",
-    "document_number",
-    "referenced_documents",
-    "register_sources",
-    "repair_json",
-    "resolve_missing",
-    "source_names",
-    "source_references",
-]

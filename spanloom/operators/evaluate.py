@@ -110,6 +110,45 @@ def run_delta(run: DataFrame, baseline: DataFrame, qrels: DataFrame) -> DataFram
     return a.join(b, ["metric", "k"]).withColumn("delta", F.round(F.col("value") - F.col("baseline"), 6))
 
 
+def run_table(runs: dict[str, DataFrame], qrels: DataFrame) -> DataFrame:
+    """(metric, k, and one column for each named run) over the same judgements."""
+    out = None
+    for name, run in runs.items():
+        part = metric_table(run, qrels).withColumnRenamed("value", name)
+        out = part if out is None else out.join(part, ["metric", "k"])
+    return out
+
+
+def recovered(run: DataFrame, baseline: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """One row: queries with one relevant document, those that the baseline and the run find in their first ``k``, those
+    that only the run (recovered), only the baseline (lost) or either (union) finds, and the share of the union."""
+    truth = single_relevant(qrels)
+    hit = lambda r, name: rerank_by_score(r).where(F.col("rank") <= k).select("qid", "doc_id", F.lit(1).alias(name))
+    joined = truth.join(hit(run, "a"), ["qid", "doc_id"], "left").join(hit(baseline, "b"), ["qid", "doc_id"], "left")
+    a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
+    counts = {"n_baseline": b, "n_run": a, "n_recovered": a & ~b, "n_lost": b & ~a, "n_union": a | b}
+    out = joined.agg(F.count("*").alias("n_queries"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+    return out.withColumn("union_recall", F.round(F.col("n_union") / F.greatest(F.col("n_queries"), F.lit(1)), 6))
+
+
+#: Code points of a bin of the corpus-wide span comparison.
+BIN = 500
+
+
+def span_scores_anywhere(truth: DataFrame, found: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(n_truth, n_found, n_hit, precision, recall, f1) where a found span of any document may hit a truth.
+
+    Only whether some found span overlaps counts, so equal spans are one, and spans meet in bins of their places: no cross join.
+    """
+    from spanloom.functions.text import span_iou
+
+    bins = F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor((F.greatest(F.col("end") - 1, F.col("start"))) / BIN))).alias("bin")
+    places = truth.select("start", "end").distinct().select(F.col("start").alias("ts"), F.col("end").alias("te"), bins)
+    others = found.select("start", "end").distinct().select(F.col("start").alias("fs"), F.col("end").alias("fe"), bins)
+    met = places.join(others, "bin").where(span_iou(F.col("ts"), F.col("te"), F.col("fs"), F.col("fe")) > threshold).select(F.col("ts").alias("start"), F.col("te").alias("end")).distinct()
+    return _span_report(truth, found, truth.join(met, ["start", "end"], "left_semi"))
+
+
 def span_scores(truth: DataFrame, found: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(n_truth, n_found, n_hit, precision, recall, f1) of spans (qid, start, end).
 
@@ -121,6 +160,10 @@ def span_scores(truth: DataFrame, found: DataFrame, threshold: float = 0.3) -> D
     t, f = truth.alias("t"), found.alias("f")
     near = span_iou(F.col("t.start"), F.col("t.end"), F.col("f.start"), F.col("f.end")) > threshold
     hits = t.join(f, (F.col("t.qid") == F.col("f.qid")) & (F.col("f.start") < F.col("t.end")) & (F.col("t.start") < F.col("f.end")) & near, "left_semi")
+    return _span_report(truth, found, hits)
+
+
+def _span_report(truth: DataFrame, found: DataFrame, hits: DataFrame) -> DataFrame:
     n_truth, n_found, n_hit = (d.agg(F.count("*").alias("n")).scalar() for d in (truth, found, hits))
     one = truth.sparkSession.range(1).select(n_truth.alias("n_truth"), n_found.alias("n_found"), n_hit.alias("n_hit"))
     p = F.when(F.col("n_found") > 0, F.col("n_hit") / F.col("n_found")).otherwise(0.0)

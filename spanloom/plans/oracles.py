@@ -1,7 +1,6 @@
 """The same results in the SQL of a second engine (DuckDB dialect), by query name.
 
-Where that dialect lacks what a query needs (look-behind, vectorised encoders, merges of marks), the query has no SQL here
-and is tested against plain Python instead.
+Recursive common table expressions stand for folds: packing of paragraphs, places of sentences, merges of marks.
 """
 
 from __future__ import annotations
@@ -274,19 +273,55 @@ SQL: dict[str, str] = {
 SQL["own_run_delta"] = f"""WITH {reported(SQL['bm25_segmented_coverage'], 'a')}, {reported(SQL['bm25_set_top10'], 'b')}
   SELECT metric, k, a.value, b.value AS baseline, round(a.value - b.value, 6) AS delta FROM a JOIN b USING (metric, k)"""
 
-_SENTENCES = lambda src, key: f"""(SELECT {key}, unnest(range(len(ps))) AS no, unnest(ps) AS text FROM (SELECT {key},
-  list_filter(list_transform(string_split({_M3}, chr(1)), lambda p: {strip('p')}), lambda p: p <> '') AS ps FROM {src}) WHERE len(ps) >= 2)"""
-SQL["align_marked_sentences"] = f"""WITH {CORPUS}, {ASKED}, {RUN}, sa AS {_SENTENCES('q', 'qid')}, sb AS {_SENTENCES('c', 'doc_id')},
-  ta AS (SELECT qid, no AS i, len(t) AS na, unnest(t) AS tok FROM (SELECT qid, no, list_distinct({toks('text')}) AS t FROM sa)),
-  tb AS (SELECT doc_id, no AS j, len(t) AS nb, unnest(t) AS tok FROM (SELECT doc_id, no, list_distinct({toks('text')}) AS t FROM sb)),
+
+def located(src: str, key: str, marked: str, out: str, least: int) -> str:
+    """CTE ``out`` (key, st, en, tx): starts, ends and texts of the sentences of each text with at least ``least`` of them."""
+    return f"""{out}_c AS (SELECT {key}, text, list_filter(list_transform(string_split({marked}, chr(1)), lambda p: {strip('p')}), lambda p: p <> '') AS ps FROM {src}),
+  {out}_w AS (SELECT {key}, 0 AS i, 0::BIGINT AS s, 0::BIGINT AS e FROM {out}_c UNION ALL
+    SELECT {key}, i + 1, e + greatest(f, 1) - 1, e + greatest(f, 1) - 1 + length(p) FROM (SELECT w.*, ps[i + 1] AS p, instr(substr(text, e + 1), ps[i + 1]) AS f FROM {out}_w w JOIN {out}_c USING ({key}) WHERE i < len(ps))),
+  {out} AS (SELECT {key}, list(s ORDER BY i) AS st, list(e ORDER BY i) AS en, list(ps[i] ORDER BY i) AS tx FROM {out}_w JOIN {out}_c USING ({key}) WHERE i > 0 GROUP BY {key} HAVING count(*) >= {least})"""
+
+
+def marks(threshold: float, bonus: float, both_ways: bool) -> str:
+    """CTE ``mk`` (qid, doc_id, i, j, score) over ``r`` (qid, doc_id), ``sa`` and ``sb`` as ``located`` makes them."""
+    way = " AND abs(back - i) <= 5" if both_ways else ""
+    return f"""na AS (SELECT qid, unnest(range(len(tx))) AS i, unnest(tx) AS text FROM sa), nb AS (SELECT doc_id, unnest(range(len(tx))) AS j, unnest(tx) AS text FROM sb),
+  ta AS (SELECT qid, i, len(t) AS na, unnest(t) AS tok FROM (SELECT qid, i, list_distinct({toks('text')}) AS t FROM na)),
+  tb AS (SELECT doc_id, j, len(t) AS nb, unnest(t) AS tok FROM (SELECT doc_id, j, list_distinct({toks('text')}) AS t FROM nb)),
   cs AS (SELECT r.qid, r.doc_id, i, j, round(count(*) / sqrt(any_value(na) * any_value(nb)), 9) AS cos FROM r JOIN ta ON ta.qid = r.qid JOIN tb ON tb.doc_id = r.doc_id AND tb.tok = ta.tok GROUP BY ALL),
   pl AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id, i ORDER BY cos DESC, j) AS place FROM cs),
-  ga AS (SELECT qid, no AS i, {grams('text')} AS x FROM sa), gb AS (SELECT doc_id, no AS j, {grams('text')} AS y FROM sb),
+  ga AS (SELECT qid, i, {grams('text')} AS x FROM na), gb AS (SELECT doc_id, j, {grams('text')} AS y FROM nb),
   jc AS (SELECT pl.qid, pl.doc_id, pl.i, pl.j, CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) ELSE 0 END AS jac
-    FROM pl JOIN ga ON ga.qid = pl.qid AND ga.i = pl.i JOIN gb ON gb.doc_id = pl.doc_id AND gb.j = pl.j WHERE place <= 20 AND cos * 1.5e0 >= 0.7e0 - 1e-6),
-  s AS (SELECT pl.qid, pl.doc_id, pl.i, pl.j, CASE WHEN jac IS NULL THEN cos ELSE round(cos * (1 + 0.5e0 * jac), 9) END AS score FROM pl LEFT JOIN jc ON (pl.qid, pl.doc_id, pl.i, pl.j) = (jc.qid, jc.doc_id, jc.i, jc.j)),
-  best AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id, i ORDER BY score DESC, j) AS a, first_value(i) OVER (PARTITION BY qid, doc_id, j ORDER BY score DESC, i) AS back FROM s)
-  SELECT qid, doc_id AS src, i, j, round(score, 6) AS score FROM best WHERE a = 1 AND score >= 0.7e0 AND abs(back - i) <= 5"""
+    FROM pl JOIN ga ON ga.qid = pl.qid AND ga.i = pl.i JOIN gb ON gb.doc_id = pl.doc_id AND gb.j = pl.j WHERE place <= 20 AND cos * (1 + {bonus}e0) >= {threshold}e0 - 1e-6 AND {bonus} > 0),
+  s AS (SELECT pl.qid, pl.doc_id, pl.i, pl.j, CASE WHEN jac IS NULL THEN cos ELSE round(cos * (1 + {bonus}e0 * jac), 9) END AS score FROM pl LEFT JOIN jc ON (pl.qid, pl.doc_id, pl.i, pl.j) = (jc.qid, jc.doc_id, jc.i, jc.j)),
+  best AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id, i ORDER BY score DESC, j) AS a, first_value(i) OVER (PARTITION BY qid, doc_id, j ORDER BY score DESC, i) AS back FROM s),
+  mk AS (SELECT qid, doc_id, i, j, score FROM best WHERE a = 1 AND score >= {threshold}e0{way})"""
+
+
+def merged(min_chars: int, gap: int, reach: int, coherence: float | None, second: bool) -> str:
+    """CTEs after ``mk``, and the rows of blocks. ``opener`` is the mark that opened the block, ``pos`` the one looked at."""
+    held, end = ("lastj", "CASE WHEN pos <= len(ii) THEN ii[pos] ELSE len(ast) END") if second else ("jj[opener]", "lasti + 1")
+    unsettles = f"list_stddev_pop(list_append(sc, ss[pos])) > {coherence}e0" if coherence else "false"
+    fresh = "ss[{k}] AS total, [ss[{k}]] AS sc, jj[{k}] AS lastj, ii[{k}] AS lasti, bst[jj[{k}] + 1] AS lo, ben[jj[{k}] + 1] AS hi"
+    return f"""g AS (SELECT qid, doc_id, list(i ORDER BY i) AS ii, list(j ORDER BY i) AS jj, list(score ORDER BY i) AS ss FROM mk GROUP BY ALL),
+  p AS (SELECT g.*, sa.st AS ast, sa.en AS aen, sb.st AS bst, sb.en AS ben FROM g JOIN sa USING (qid) JOIN sb USING (doc_id)),
+  w AS (SELECT qid, doc_id, 1::BIGINT AS opener, 2::BIGINT AS pos, 1::BIGINT AS n, {fresh.format(k=1)}, NULL::BIGINT[] AS block, NULL::DOUBLE AS mean FROM p UNION ALL
+    SELECT qid, doc_id, CASE WHEN stop THEN nxt ELSE opener END, CASE WHEN stop THEN nxt + 1 ELSE pos + 1 END, CASE WHEN stop THEN 1 WHEN joins THEN n + 1 ELSE n END,
+      CASE WHEN stop THEN ss[nxt] WHEN joins THEN total + ss[pos] ELSE total END, CASE WHEN stop THEN [ss[nxt]] WHEN joins THEN list_append(sc, ss[pos])[-3:] ELSE sc END,
+      CASE WHEN stop THEN jj[nxt] WHEN joins THEN jj[pos] ELSE lastj END, CASE WHEN stop THEN ii[nxt] WHEN joins THEN ii[pos] ELSE lasti END,
+      CASE WHEN stop THEN bst[jj[nxt] + 1] WHEN joins THEN least(lo, bst[jj[pos] + 1]) ELSE lo END, CASE WHEN stop THEN ben[jj[nxt] + 1] WHEN joins THEN greatest(hi, ben[jj[pos] + 1]) ELSE hi END,
+      CASE WHEN stop AND list_sum(list_transform(range(ii[opener] + 1, fin + 1), lambda x: aen[x] - ast[x])) >= {min_chars} THEN [ast[ii[opener] + 1], aen[fin], lo, hi] END, CASE WHEN stop THEN total / n END
+    FROM (SELECT *, NOT stop AND NOT (abs(jj[pos] - {held}) > {reach} OR {unsettles}) AS joins, opener + 1 + len(list_filter(ii[opener + 1:], lambda x: x < fin)) AS nxt
+      FROM (SELECT w.*, p.* EXCLUDE (qid, doc_id), pos > len(ii) OR ii[pos] - ii[opener] - n > {gap} AS stop, {end} AS fin FROM w JOIN p USING (qid, doc_id) WHERE opener <= len(ii))))
+  SELECT qid, doc_id AS src, block[1]::INT AS susp_start, block[2]::INT AS susp_end, block[3]::INT AS src_start, block[4]::INT AS src_end, round(mean, 6) AS score FROM w WHERE block IS NOT NULL"""
+
+
+CITED = "cd AS (SELECT * FROM c WHERE doc_id IN (SELECT doc_id FROM r))"
+SQL["align_marked_sentences"] = f"""WITH RECURSIVE {CORPUS}, {ASKED}, {RUN}, {CITED}, {located('q', 'qid', _M3, 'sa', 2)}, {located('cd', 'doc_id', _M3, 'sb', 2)}, {marks(0.7, 0.5, True)}
+  SELECT qid, doc_id AS src, i, j, round(score, 6) AS score FROM mk"""
+SQL["align_blocks_v2"] = f"""WITH RECURSIVE {CORPUS}, {ASKED}, {RUN}, {CITED}, {located('q', 'qid', _M3, 'sa', 2)}, {located('cd', 'doc_id', _M3, 'sb', 2)}, {marks(0.7, 0.5, True)}, {merged(50, 2, 5, 0.15, True)}"""
+SQL["align_end_to_end"] = f"""WITH RECURSIVE {CORPUS}, {ASKED}, r AS (SELECT qid, doc_id FROM ({SQL['bm25_set_top10']}) WHERE rank = 1), {CITED},
+  {located('q', 'qid', _M3, 'sa', 2)}, {located('cd', 'doc_id', _M3, 'sb', 2)}, {marks(0.89, 0.0, True)}, {merged(100, 1, 5, 0.15, True)}"""
 
 _PARAS = f"list_filter(list_transform(string_split_regex(text, '\\n{WS}*\\n'), lambda p: {strip('p')}), lambda p: p <> '')"
 SQL["paragraph_spans"] = f"""WITH RECURSIVE {CORPUS}, cut AS (SELECT doc_id, text, {_PARAS} AS ps FROM c),
@@ -337,3 +372,38 @@ SQL["resolved_missing"] = f"""WITH {CORPUS}, pages AS (SELECT value, any_value(c
     WHERE m.source_doc_id NOT IN (SELECT source_doc_id FROM fetch_errors WHERE source_doc_id IS NOT NULL) GROUP BY value),
   w AS (SELECT DISTINCT source_doc_id, type, value FROM missing_sources), j AS (SELECT w.*, pages.text IS NULL AS absent, {_CLEAN} AS t FROM w LEFT JOIN pages USING (value))
   SELECT source_doc_id, CASE WHEN length(t) > 50 THEN 'ok' WHEN absent THEN 'not fetched' ELSE 'empty body' END AS state, CASE WHEN length(t) > 50 THEN length(t) ELSE 0 END AS n FROM j"""
+_PARAGRAPHS = SQL["paragraph_spans"].split("SELECT doc_id, row_number()")[0].removeprefix(f"WITH RECURSIVE {CORPUS}, ").replace("FROM c)", "FROM cd)", 1)
+SQL["align_blocks_v1"] = f"""WITH RECURSIVE {CORPUS}, {ASKED}, {RUN}, {CITED}, {located('q', 'qid', _M2, 'sa', 1)}, {_PARAGRAPHS},
+  sb AS (SELECT doc_id, list(s + a ORDER BY i, k) AS st, list(s + e ORDER BY i, k) AS en, list(ps[k] ORDER BY i, k) AS tx FROM walk2 JOIN inner_ USING (doc_id, i) WHERE k > 0 GROUP BY doc_id),
+  {marks(0.65, 0.0, False)}, {merged(50, 2, 3, None, False)}"""
+SQL["three_runs"] = f"""WITH {tagged('seg', 'a')}, {tagged('bm25', 'b')}, {reported('SELECT qid, doc_id, max(score) AS score FROM run GROUP BY ALL', 'u')}
+  SELECT metric, k, a.value AS seg, b.value AS bm25, u.value AS "both" FROM a JOIN b USING (metric, k) JOIN u USING (metric, k)"""
+
+
+def hits(tag: str, name: str, k: int) -> str:
+    return f"""{name} AS (SELECT qid, doc_id FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
+    FROM (SELECT qid, doc_id, max(score) AS score FROM run WHERE tag = '{tag}' GROUP BY ALL)) WHERE rank <= {k})"""
+
+
+def recovered(k: int) -> str:
+    return f"""WITH {QRELS}, truth AS (SELECT qid, max(doc_id) AS doc_id FROM j WHERE rel > 0 GROUP BY qid), {hits('seg', 'a', k)}, {hits('bm25', 'b', k)},
+  m AS (SELECT (qid, doc_id) IN (SELECT (qid, doc_id) FROM a) AS x, (qid, doc_id) IN (SELECT (qid, doc_id) FROM b) AS y FROM truth)
+  SELECT count(*) AS n_queries, count(*) FILTER (y) AS n_baseline, count(*) FILTER (x) AS n_run, count(*) FILTER (x AND NOT y) AS n_recovered, count(*) FILTER (y AND NOT x) AS n_lost,
+  count(*) FILTER (x OR y) AS n_union, round(count(*) FILTER (x OR y) / count(*), 6) AS union_recall FROM m"""
+
+
+SQL["recovered_hits"] = recovered(10)
+SQL["union_recall_100"] = f"SELECT n_queries, n_union, union_recall FROM ({recovered(100)})"
+SQL["alignment_prf_anywhere"] = f"""WITH {placed(0, 't')}, {placed(45, 'f')}, d AS (SELECT DISTINCT s, e FROM f),
+  p AS (SELECT t.qid FROM t WHERE EXISTS (SELECT 1 FROM d f WHERE {OVERLAP} / (t.e - t.s + f.e - f.s - {OVERLAP}) > 0.3)),
+  n AS (SELECT (SELECT count(*) FROM t) AS n_truth, (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM p) AS n_hit)
+  SELECT n_truth, n_found, n_hit, round(n_hit / n_found, 6) AS precision, round(n_hit / n_truth, 6) AS recall, round(2 * (n_hit / n_found) * (n_hit / n_truth) / greatest(n_hit / n_found + n_hit / n_truth, 0.001), 6) AS f1 FROM n"""
+SQL["targeted_windows"] = f"""WITH {CORPUS}, {ASKED}, bl AS ({SQL['blind_queries']}), tk AS (SELECT doc_id, text, {toks('text')} AS t FROM c WHERE doc_id IN (SELECT doc_id FROM bl)),
+  wi AS (SELECT doc_id, unnest(range(len(ch))) AS no, unnest(ch) AS text FROM (SELECT doc_id, CASE WHEN len(t) <= 256 THEN [substr(text, 1, 3000)]
+    ELSE list_transform(range(0, len(t), 128), lambda i: array_to_string(t[i + 1 : i + 256], ' ')) END AS ch FROM tk)),
+  {encoded("SELECT qid, 'query: ' || text AS text FROM q WHERE qid IN (SELECT qid FROM bl)", 'eq', 'qid')},
+  {encoded("SELECT doc_id || ':' || no AS part, 'passage: ' || text AS text FROM wi", 'ew', 'part')},
+  met AS (SELECT bl.qid, bl.doc_id, no, sum(eq.x * ew.x) AS s FROM bl JOIN wi USING (doc_id) JOIN eq ON eq.qid = bl.qid JOIN ew ON ew.part = bl.doc_id || ':' || no AND ew.p = eq.p GROUP BY ALL),
+  a AS (SELECT bl.qid, bl.doc_id, wi.no, round(coalesce(s, 0), 6) AS score FROM bl JOIN wi USING (doc_id) LEFT JOIN met ON (met.qid, met.doc_id, met.no) = (bl.qid, bl.doc_id, wi.no)),
+  five AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, no) AS n FROM a)
+  SELECT qid, doc_id, round(0.5e0 * max(score) + 0.3e0 * avg(score::DECIMAL(18, 9)) + CASE WHEN max(score) > 0.7e0 THEN 0.2e0 ELSE 0 END, 5) AS score FROM five WHERE n <= 5 GROUP BY ALL"""

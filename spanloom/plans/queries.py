@@ -442,6 +442,32 @@ def run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.run_delta(run_of(spark, sf_dir, "seg"), run_of(spark, sf_dir, "bm25"), judgements(spark, sf_dir))
 
 
+@query
+def three_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = {"seg": run_of(spark, sf_dir, "seg"), "bm25": run_of(spark, sf_dir, "bm25"), "both": run_of(spark, sf_dir)}
+    return evaluate.run_table(tags, judgements(spark, sf_dir))
+
+
+@query
+def recovered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.recovered(run_of(spark, sf_dir, "seg"), run_of(spark, sf_dir, "bm25"), judgements(spark, sf_dir))
+
+
+@query
+def union_recall_100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.recovered(run_of(spark, sf_dir, "seg"), run_of(spark, sf_dir, "bm25"), judgements(spark, sf_dir), 100)
+    return out.select("n_queries", "n_union", "union_recall")
+
+
+@query
+def targeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blind queries against the windows of their relevant documents."""
+    pairs = blind_queries(spark, sf_dir)
+    docs = corpus(spark, sf_dir).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    vectors = dense.encode(asked(spark, sf_dir).join(pairs.select("qid"), "qid", "left_semi"), prefix="query: ")
+    return dense.targeted_windows(pairs, vectors, dense.windowed_vectors(docs))
+
+
 # Alignment
 
 
@@ -492,6 +518,11 @@ def alignment_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.span_scores(_windows(spark, sf_dir, 0), _windows(spark, sf_dir, 45))
 
 
+@query
+def alignment_prf_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.span_scores_anywhere(_windows(spark, sf_dir, 0), _windows(spark, sf_dir, 45))
+
+
 # Rewriting
 
 

@@ -27,11 +27,20 @@ def choose_fields(raw: DataFrame, chain: str, id_name: str = "doc_id") -> DataFr
     return raw.select(first_filled(*ids).alias(id_name), F.coalesce(first_filled(*texts), F.lit("")).alias("text"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_jsonl(spark: SparkSession, path: str, chain: str = "corpus", id_name: str = "doc_id") -> DataFrame:
     """JSON lines, plain or compressed by extension; blank lines are skipped.
 
-    Compressed files can't be split: what was read is spread again before anything heavy.
+    A missing plain file gives way to the one with ``.gz``. Compressed files can't be split: what was read is spread again
+    before anything heavy.
     """
+    if not path_exists(spark, path) and path_exists(spark, f"{path}.gz"):
+        path = f"{path}.gz"
     df = choose_fields(spark.read.schema(RECORD).json(path), chain, id_name)
     return df.repartition(spark.sparkContext.defaultParallelism) if str(path).endswith(".gz") else df
 

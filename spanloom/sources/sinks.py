@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.readers import path_exists
+
 
 def run_lines(run: DataFrame, tag: str) -> DataFrame:
     """(value): ``qid Q0 doc_id rank score tag`` with six decimals, by query and rank."""
@@ -59,3 +63,18 @@ def write_cache(df: DataFrame, folder: str, fingerprint: str, mode: str = "overw
     path = f"{folder}/{fingerprint}"
     df.write.mode(mode).parquet(path)
     return path
+
+
+def read_cache(spark: SparkSession, folder: str, fingerprint: str) -> DataFrame | None:
+    """What ``write_cache`` left for this fingerprint, if it was finished."""
+    path = f"{folder}/{fingerprint}"
+    return spark.read.parquet(path) if path_exists(spark, f"{path}/_SUCCESS") else None
+
+
+def cached(spark: SparkSession, folder: str, fingerprint: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The cached table, made and written first where there is none."""
+    found = read_cache(spark, folder, fingerprint)
+    if found is None:
+        write_cache(make(), folder, fingerprint)
+        found = read_cache(spark, folder, fingerprint)
+    return found

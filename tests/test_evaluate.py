@@ -35,3 +35,22 @@ def test_span_scores(spark):
     assert (got.n_truth, got.n_found, got.n_hit, got.precision, got.recall) == (3, 2, 1, 0.5, 0.333333)
     empty = evaluate.span_scores(spans([]), spans([])).first()
     assert (empty.precision, empty.recall, empty.f1) == (0.0, 0.0, 0.0)
+
+
+def test_span_scores_anywhere_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    make = lambda n: [(f"q{rng.randint(0, 5)}", a, a + rng.randint(1, 1500)) for a in (rng.randint(0, 4000) for _ in range(n))]
+    truth, found = make(40), make(25)
+    iou = lambda a, b: max(0, min(a[2], b[2]) - max(a[1], b[1])) / ((a[2] - a[1]) + (b[2] - b[1]) - max(0, min(a[2], b[2]) - max(a[1], b[1])))
+    want = sum(any(iou(t, f) > 0.3 for f in found) for t in truth)
+    frame = lambda rows: spark.createDataFrame(rows, "qid string, start int, end int")
+    assert evaluate.span_scores_anywhere(frame(truth), frame(found)).first().n_hit == want
+
+
+def test_recovered_hits(spark):
+    run = lambda rows: spark.createDataFrame(rows, "qid string, doc_id string, score double")
+    qrels = spark.createDataFrame([("a", "x", 1), ("b", "y", 1), ("c", "z", 2), ("d", "w", 0)], "qid string, doc_id string, rel int")
+    got = evaluate.recovered(run([("a", "x", 2.0), ("b", "q", 1.0)]), run([("b", "y", 1.0)]), qrels).first()
+    assert (got.n_queries, got.n_baseline, got.n_run, got.n_recovered, got.n_lost, got.n_union) == (3, 1, 1, 1, 1, 2)

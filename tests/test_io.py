@@ -1,6 +1,9 @@
 import gzip
 import json
 
+from pyspark.sql import functions as F
+
+from spanloom.functions import text
 from spanloom.operators import convert
 from spanloom.sources import readers, sinks
 
@@ -65,3 +68,28 @@ def test_missing_sources(spark):
     assert [r.doc_id for r in docs.collect()] == ["d1"]
     assert [(r.source_doc_id, r.method, r.error) for r in errors.collect()] == [("d2", "search", "empty body")]
     assert convert.register_sources(missing, "c").count() == 2
+
+
+def test_missing_plain_file_gives_way_to_gzip(spark, tmp_path):
+    with gzip.open(tmp_path / "c.jsonl.gz", "wt") as f:
+        f.write('{"doc_id": "a", "default_text": "x"}\n\n{"qid": "b", "query": "y"}\n')
+    assert sorted(map(tuple, readers.read_jsonl(spark, str(tmp_path / "c.jsonl")).collect())) == [("a", "x"), ("b", "y")]
+
+
+def test_cache_is_read_by_fingerprint(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert sinks.read_cache(spark, str(tmp_path), "m1") is None
+    for _ in range(2):
+        assert sinks.cached(spark, str(tmp_path), "m1", make).count() == 3
+    sinks.cached(spark, str(tmp_path), "m2", make)
+    assert len(made) == 2
+
+
+def test_text_name(spark):
+    df = spark.createDataFrame([("x.html",), ("y.htm",), ("a.html.html",)], "n string")
+    assert [r[0] for r in df.select(text.text_name(F.col("n"))).collect()] == ["x.txt", "y.htm.txt", "a.html.txt"]
