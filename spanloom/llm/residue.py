@@ -135,12 +135,17 @@ def _notice(line: str) -> bool:
     return sum(map(_is_notice, sentences)) * 2 >= len(sentences)
 
 
+def _latin(word: str) -> bool:
+    """Whether a word is a chain of filler syllables; runs of letters longer than any word are none, and would be slow to try."""
+    return len(word) <= 40 and LATIN.fullmatch(word) is not None
+
+
 def _filler(line: str) -> bool:
     if line.isascii():
         words = line.split(None, 5)[:5]
-        if len(words) >= 4 and sum(LATIN.fullmatch(w.strip(".,;:!?")) is not None for w in words) >= len(words) - 1:
+        if len(words) >= 4 and sum(_latin(w.strip(".,;:!?")) for w in words) >= len(words) - 1:
             words = WORD.findall(line)
-            if sum(len(w) for w in words if LATIN.fullmatch(w)) > 0.9 * sum(map(len, words)):
+            if sum(len(w) for w in words if _latin(w)) > 0.9 * sum(map(len, words)):
                 return True
     return FILLER.fullmatch(line) is not None
 

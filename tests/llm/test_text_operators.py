@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 
@@ -203,6 +204,18 @@ def test_abbreviations_are_learned_and_neighbours_count():
     assert sentences.posteriors([4.0, 0.5], [1, 0], after)[1] < 0.5 < sentences.posteriors([-4.0, 0.5], [1, 0], after)[1]
 
 
+@pytest.mark.parametrize("text", ["enim" * 30000 + "x", '"“' * 30000 + "a. b", "“" * 10000 + "a. " * 10000, "[" * 100000, "a\n" * 30000, "." * 100000, "a@" * 50000, "ก " * 50000])
+def test_long_odd_texts_take_no_time(text):
+    began = time.time()
+    plain = sentences.Model()
+    assert sum(len(x) for x in sentences.units(text, plain)) >= 0
+    truncation.closing(text, plain)
+    lines = boilerplate.page_lines(text)
+    residue.evidence(text, lines[2])
+    boilerplate.page_shapes(*lines)
+    assert time.time() - began < 10
+
+
 def test_units_cover_all_visible_text():
     rng = random.Random(2)
     for _ in range(300):
