@@ -53,3 +53,24 @@ def test_repair_json_and_numbers(spark):
     assert one(spark, '{"a": [1, 2, ], }', fn.repair_json) == '{"a": [1, 2]}'
     assert one(spark, "suspicious-document00042-batch3.txt", fn.document_number) == 42
     assert one(spark, "other.txt", fn.document_number) is None
+
+
+def test_sets_of_ngrams_are_not_shuffled(spark):
+    pairs = spark.createDataFrame([("q1", "d1"), ("q1", "d2"), ("q2", "d2"), ("q2", "none")], "qid string, doc_id string")
+    asked = spark.createDataFrame([("q1", "abcd"), ("q2", "xy")], "qid string, text string").dropDuplicates(["qid"])
+    docs = spark.createDataFrame([("d1", "ABCDE"), ("d2", "zzz")], "doc_id string, text string").dropDuplicates(["doc_id"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = fn.pair_jaccard(pairs, asked, docs)
+        assert {tuple(r) for r in out.collect()} == {("q1", "d1", round(2 / 3, 9)), ("q1", "d2", 0.0), ("q2", "d2", 0.0)}
+        # a set of n-grams is an array: none goes through an exchange
+        todo, moved = [out._jdf.queryExecution().executedPlan().initialPlan()], []
+        while todo:
+            node = todo.pop()
+            if "Exchange" in node.nodeName():
+                moved.append(node.schema().simpleString())
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        assert moved and not [x for x in moved if "array" in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
