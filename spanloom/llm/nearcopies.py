@@ -9,7 +9,8 @@ than the limit cannot be near copies, so pairs are discarded by their maximum co
 are checked by their own distance and then exactly, on the full sets of substrings.
 
 A block is only ever streamed: a member meets at most ``REFERENCES`` references, so a hot block costs time and table rows
-in proportion to its members. Pairs of members are made from the table, which AQE splits where a reference is hot.
+in proportion to its members. Pairs of members are made and measured where the members of a reference meet, so pairs that
+only share the furniture of a site, which grow with the square of its pages, take time but no disk.
 
 Cases: null texts, empty texts and texts under ``min_chars`` are in no pair; repeated rows of an id are one record;
 records with equal text are pairs of similarity 1; extra columns are not read.
@@ -32,6 +33,8 @@ SYMBOLS = BINS * PERMUTATIONS
 #: Distances are taken over so many symbols of the fingerprint, one byte of each, which is what travels with pairs.
 COMPARED = 160
 REFERENCES = 4
+#: Members of one reference that a task compares with each other; more are compared in parts.
+MEMBERS = 4000
 _MULTIPLIERS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 6)
 
@@ -171,6 +174,56 @@ def _distances(pairs: DataFrame, classes: DataFrame, a: str, b: str) -> DataFram
     return pairs.join(left, a).join(right, b).select(a, b, "x", "y").mapInArrow(run, f"{a} bigint, {b} bigint, dist int")
 
 
+def _near(table: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+    """(a, b), a < b, of members of a common reference of ``table`` whose fingerprints differ in at most ``limit`` symbols.
+
+    Pairs are made, discarded by their coordinate difference and measured in the task that has the members of a reference; only
+    near ones leave it. A reference with more than ``MEMBERS`` members is cut in parts, and each two parts meet in a task.
+    """
+
+    def measured(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(rows)
+        dist, part, cls = (t.column(k).to_numpy() for k in ("dist", "part", "cls"))
+        order = np.argsort(dist, kind="stable")
+        dist, part, cls = dist[order], part[order], cls[order]
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), dtype=np.uint8).reshape(-1, COMPARED)[order]
+        ends = np.searchsorted(dist, dist + limit, side="right")
+        apart = t.column("lo")[0] != t.column("hi")[0]
+        a, b = [], []
+        for i in range(len(cls) - 1):
+            at = np.arange(i + 1, ends[i])
+            if apart:
+                at = at[part[i + 1 : ends[i]] != part[i]]
+            for s in range(0, len(at), 4000):
+                some = at[s : s + 4000]
+                some = some[np.count_nonzero(fps[some] != fps[i], axis=1) <= limit]
+                a.append(np.minimum(cls[some], cls[i]))
+                b.append(np.maximum(cls[some], cls[i]))
+        return (np.concatenate(a), np.concatenate(b)) if a else (cls[:0], cls[:0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_before, rows = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else []
+            for k, e in zip(starts, [*starts[1:], len(keys)]):
+                key = tuple(keys[k].tolist())
+                if key != key_before and rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in measured(rows)], names=["a", "b"])
+                    rows = []
+                key_before = key
+                rows.append(batch.slice(k, e - k))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in measured(rows)], names=["a", "b"])
+
+    sizes = table.groupBy("ref").count().where("count > 1")
+    hot = sizes.where(F.col("count") > MEMBERS).select("ref", F.ceil(F.col("count") / MEMBERS).alias("parts"))
+    members = table.join(sizes.select("ref"), "ref", "left_semi").join(classes, "cls").join(F.broadcast(hot), "ref", "left").fillna(1, ["parts"])
+    members = members.withColumn("part", F.expr("pmod(xxhash64(cls), parts)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    members = members.select("ref", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "cls", "dist", "part", "fp")
+    return members.repartition("ref", "lo", "hi").sortWithinPartitions("ref", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs whose exact similarity is above the threshold."""
 
@@ -208,19 +261,7 @@ def class_pairs(records: DataFrame, threshold: float = 0.6, min_chars: int = 400
     table = checkpointed(_distances(_references(_blocks(prints)), classes, "ref", "cls"))
     # pairs with a reference itself are decided by their own distance
     direct = table.where(F.col("dist") <= limit).select(F.least("ref", "cls").alias("a"), F.greatest("ref", "cls").alias("b"))
-    x, y = table.select("ref", F.col("cls").alias("a"), F.col("dist").alias("dx")), table.select("ref", F.col("cls").alias("b"), F.col("dist").alias("dy"))
-    through = (
-        x.join(y, "ref")
-        .where("a < b")
-        .groupBy("a", "b")
-        .agg(F.max(F.abs(F.col("dx") - F.col("dy"))).alias("coordinate"), F.min(F.col("dx") + F.col("dy")).alias("way"))
-        .where(F.col("coordinate") <= limit)
-        .join(table.select(F.least("ref", "cls").alias("a"), F.greatest("ref", "cls").alias("b")).distinct(), ["a", "b"], "left_anti")
-    )
-    # a short way over a reference proves nearness; the others are measured
-    near = through.where(F.col("way") <= limit).select("a", "b")
-    far = _distances(through.where(F.col("way") > limit).select("a", "b"), classes, "a", "b").where(F.col("dist") <= limit).select("a", "b")
-    survivors = checkpointed(direct.union(near).union(far).distinct())
+    survivors = checkpointed(direct.union(_near(table, classes, limit)).distinct())
     texts = records.where(F.col("id").isNotNull() & (F.length("text") >= min_chars)).select(unified().alias("text"))
     texts = texts.select(F.xxhash64("text", F.length("text")).alias("cls"), "text")
     return members, _verify(survivors, texts, threshold)

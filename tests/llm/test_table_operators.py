@@ -48,6 +48,27 @@ def test_blocks_stream_over_batches(spark):
     assert {c for r, c in got if r == 0} == set(range(1, 50)) and (1, 2) in got and not any(r == c for r, c in got) and len({r for r, c in got}) <= 5
 
 
+def test_unlike_members_of_a_hot_block_are_not_shuffled_as_pairs(spark, monkeypatch):
+    rng = random.Random(16)
+    rows = [(f"p{i:04}", words(rng, 80)) for i in range(700)]
+    rows += [(f"q{i:02}", rows[i][1] + " and one more") for i in range(20)]
+
+    def one_block(blocks):
+        cls = blocks.select("cls").distinct()
+        first = cls.agg(F.min("cls")).first()[0]
+        return cls.where(F.col("cls") != first).select(F.lit(first).alias("ref"), "cls")
+
+    def shuffled():
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    monkeypatch.setattr(nearcopies, "_references", one_block)
+    monkeypatch.setattr(nearcopies, "MEMBERS", 200, raising=False)
+    before = shuffled()
+    got = [tuple(r) for r in nearcopies.record_pairs(records(spark, rows)).collect()]
+    assert sorted(got) == [(f"p{i:04}", f"q{i:02}") for i in range(20)]
+    assert shuffled() - before < 2_500_000  # 258,840 pairs of members
+
+
 def brute_spans(texts, n):
     where = {}
     for i, t in texts.items():
