@@ -6,7 +6,7 @@ and an event on the event before it and how many words lie between. So the log o
 of the word before and of the word after, each with back-off to its class; the forward-backward recursion over all gaps of
 a line adds what neighbouring events say, and a boundary stands where its posterior exceeds one half.
 
-No abbreviations are given. Counts come from a sample of at most ``SAMPLE_RECORDS`` records (by hash of the id): ends of lines are
+No abbreviations are given. Counts come from all records (``counted_model``): ends of lines are
 known boundaries, so words and marks with an event are counted at the ends and starts of lines, transitions between
 them; words and marks without an event are what remains of the gaps inside lines, by expectation maximisation. A
 word that is often followed by a mark inside lines and never ends one is thereby an abbreviation. In Thai the gaps are blanks
@@ -21,19 +21,25 @@ unit has at least one visible character; repeated records give their units once;
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import BROADCAST_KEYS, checkpointed, text_batches
 
 #: The model is estimated on at most so many records, whatever the size of the collection.
 SAMPLE_RECORDS = 2_000
 ROUNDS = 8
+#: Gaps of a block, expected counts are whole numbers of 1 / ONE, and longer lines are done one by one.
+BLOCK_GAPS, ONE, LONG_LINE = 100_000, 1 << 30, 256
 #: A word before or after a gap that was seen so often has half a say of its own, the rest is its class's.
 SHRINK, SHRINK_AFTER = 6.0, 25.0
 #: Log odds of a gap, and what the event before adds to them, stay within these.
@@ -319,6 +325,23 @@ class Model:
         seen = own[0] + own[1]
         return max(-5.0, min(5.0, self._likelier(own, classes[cls], 10.0))) * seen / (seen + shrink)
 
+    def mark_odds(self, mark: str) -> float:
+        no, yes = self.marks.get(mark) or self.marks.get(mark.rstrip("~"), UNKNOWN_MARK)
+        return math.log(yes / no)
+
+    def left_odds(self, cls: str, word: str) -> float:
+        return self._likelier(self.left_class.get(cls, [0.0, 0.0]), self.left_total[cls.startswith("uncased")], 4.0) + self._word(self.left, self.left_class, cls, word, SHRINK)
+
+    def right_odds(self, cls: str, word: str) -> float:
+        return self._likelier(self.right_class.get(cls, [0.0, 0.0]), self.right_total[cls.startswith("uncased")], 4.0) + self._word(self.right, self.right_class, cls, word, SHRINK_AFTER)
+
+    def usual_odds(self, before: str, left: str | None, right_class: str) -> float:
+        """Without an event the word after depends on the word before, and for rare ones on its class."""
+        usual = (self.right_class.get(right_class, [0.0, 0.0])[0] + 0.5) / (self.right_total[right_class.startswith("uncased")][0] + 5.0)
+        by_class = (self.class_pair[before, right_class] + 4 * usual) / (self.seen_before[before] + 4.0)
+        by_word = (self.pair[left, right_class] + 4 * by_class) / (self.seen_before[left] + 4.0) if left is not None else by_class
+        return math.log(by_word / usual)
+
     def gap_odds(self, gap: Gap) -> float:
         key = gap[1:6]
         x = self._odds.get(key)
@@ -327,19 +350,9 @@ class Model:
             if mark == "ก":
                 no, yes = self.thai[left, right]
                 return math.log(yes / no)
-            no, yes = self.marks.get(mark) or self.marks.get(mark.rstrip("~"), UNKNOWN_MARK)
-            x = math.log(yes / no)
+            x = self.mark_odds(mark) + self.right_odds(right_class, right) - self.usual_odds(mark if left_class == "none" else left_class, left if left_class != "none" else None, right_class)
             if left_class != "none":
-                x += self._likelier(self.left_class.get(left_class, [0.0, 0.0]), self.left_total[left_class.startswith("uncased")], 4.0) + self._word(self.left, self.left_class, left_class, left, SHRINK)
-            right_total = self.right_total[right_class.startswith("uncased")]
-            own = self.right_class.get(right_class, [0.0, 0.0])
-            x += self._likelier(own, right_total, 4.0) + self._word(self.right, self.right_class, right_class, right, SHRINK_AFTER)
-            # without an event the word after depends on the word before, and for rare ones on its class
-            usual = (own[0] + 0.5) / (right_total[0] + 5.0)
-            before = mark if left_class == "none" else left_class
-            by_class = (self.class_pair[before, right_class] + 4 * usual) / (self.seen_before[before] + 4.0)
-            by_word = (self.pair[left, right_class] + 4 * by_class) / (self.seen_before[left] + 4.0) if left_class != "none" else by_class
-            x -= math.log(by_word / usual)
+                x += self.left_odds(left_class, left)
             x = max(-MOST, min(MOST, x))
             if len(self._odds) > 200_000:
                 self._odds.clear()
@@ -390,8 +403,21 @@ def posteriors(odds: list[float], far: list[int], after: dict[tuple[int, int], f
     return out
 
 
+def _settled(new: Model, start: Model, seen: dict | None) -> Model:
+    """The model of a round from its counts; ``seen`` are those of events after events."""
+    if seen:
+        usual = math.log(new.prior[1] / new.prior[0])
+        new.after = {k: max(-MOST_AFTER, min(MOST_AFTER, math.log(y / x) - usual)) for k, (x, y) in seen.items()}
+    for mark, own in new.marks.items():
+        # the prior keeps most of its say: where words tell nothing, the recursion must not talk itself into one side
+        no_, yes_ = start.marks.get(mark.rstrip("~"), UNKNOWN_MARK)
+        share = 0.8 * yes_ / (no_ + yes_) + 0.2 * own[1] / (own[0] + own[1])
+        own[:] = [1 - share, share]
+    return new.finish()
+
+
 def fit(texts: list[str]) -> Model:
-    """A model from sampled texts."""
+    """A model from texts in memory; ``counted_model`` does the same over a table."""
     lines, start = [], Model()
     for t in texts:
         for gaps, _, closing, first in lines_of(t, True):
@@ -436,15 +462,7 @@ def fit(texts: list[str]) -> Model:
                         seen[e, far][0] += w * q
                         seen[e, far][1] += w * p
                 before = p
-        if no:
-            usual = math.log(new.prior[1] / new.prior[0])
-            new.after = {k: max(-MOST_AFTER, min(MOST_AFTER, math.log(y / x) - usual)) for k, (x, y) in seen.items()}
-        for mark, own in new.marks.items():
-            # the prior keeps most of its say: where words tell nothing, the recursion must not talk itself into one side
-            no_, yes_ = start.marks.get(mark.rstrip("~"), UNKNOWN_MARK)
-            share = 0.8 * yes_ / (no_ + yes_) + 0.2 * own[1] / (own[0] + own[1])
-            own[:] = [1 - share, share]
-        model = new.finish()
+        model = _settled(new, start, seen if no else None)
         post = [model.decide(gaps) for gaps in lines]
     return model
 
@@ -475,6 +493,242 @@ def units(text: str | None, model: Model) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
+class Block:
+    """The gaps of many lines as numbers, with the marks, words and pairs that they stand for.
+
+    ``words`` has for each two words with a mark between them the gap of the block that may count.
+    """
+
+    def __init__(self):
+        self.names: list[dict[tuple, int]] = [{} for _ in range(4)]  # marks, words before, words after, pairs; Thai pairs are words before
+        self.ids: list[tuple[int, int, int, int, int]] = []
+        self.lens: list[int] = []
+        self.words: dict[int, tuple[int, int]] = {}  # hash of two words -> (order, place)
+        self.closings: Counter = Counter()
+
+    def add(self, key: str, text: str) -> None:
+        mark_no, left_no, right_no, pair_no = self.names
+        for line_no, (gaps, _, closing, first) in enumerate(lines_of(text, True)):
+            if closing:
+                if closing[2] != "none":
+                    self.closings["left", closing[2], closing[1]] += 1
+                if first:
+                    self.closings["right", first[1], first[0]] += 1
+            if not gaps:
+                continue
+            self.lens.append(len(gaps))
+            for at, mark, left, left_class, right, right_class, far, words in gaps:
+                m = mark_no.setdefault((mark,), len(mark_no))
+                if mark == "ก":
+                    self.ids.append((m, left_no.setdefault(("ก", left, right), len(left_no)), -1, -1, far))
+                    continue
+                none = left_class == "none"
+                pair = (mark, None, right_class) if none else (left_class, left, right_class)
+                h = xxhash.xxh64_intdigest(words.encode("utf-8", "surrogatepass")) - (1 << 63)
+                order = xxhash.xxh64_intdigest(f"{at} {key}".encode("utf-8", "surrogatepass")) - (1 << 63)
+                if h not in self.words or order < self.words[h][0]:
+                    self.words[h] = order, len(self.ids)
+                self.ids.append((m, -1 if none else left_no.setdefault((left_class, left), len(left_no)), right_no.setdefault((right_class, right), len(right_no)), pair_no.setdefault(pair, len(pair_no)), far))
+
+    def pack(self) -> bytes:
+        return zlib.compress(pickle.dumps((np.array(self.ids, dtype=np.int32).reshape(-1, 5), np.array(self.lens, dtype=np.int32), [list(x) for x in self.names])), 1)
+
+
+def _line_posteriors(odds: np.ndarray, far: np.ndarray, lens: np.ndarray, after: dict[tuple[int, int], float]) -> np.ndarray:
+    """``posteriors`` of many lines at once, which stand after each other."""
+    table = np.array([[after[e, d] for d in range(6)] for e in (0, 1)])
+    w0, w1 = np.exp(odds + table[0][far]), np.exp(odds + table[1][far])
+    starts = np.cumsum(lens) - lens
+    out = np.zeros(len(odds))
+    for k in np.flatnonzero(lens > LONG_LINE):
+        s, e = int(starts[k]), int(starts[k] + lens[k])
+        out[s:e] = posteriors(odds[s:e].tolist(), far[s:e].tolist(), after)
+    order = np.argsort(-lens, kind="stable")
+    order = order[lens[order] <= LONG_LINE]
+    starts, lens = starts[order], lens[order]
+    active = [int(np.searchsorted(-lens, -t)) for t in range(int(lens[0]) if len(lens) else 0)]  # lines longer than t
+    fwd = np.zeros((len(odds), 2))
+    a, b = np.zeros(len(lens)), np.ones(len(lens))
+    for t, n in enumerate(active):
+        at = starts[:n] + t
+        no, yes = a[:n] + b[:n], a[:n] * w0[at] + b[:n] * w1[at]
+        s = no + yes
+        a[:n], b[:n] = no / s, yes / s
+        fwd[at, 0], fwd[at, 1] = a[:n], b[:n]
+    a, b = np.ones(len(lens)), np.ones(len(lens))
+    for t in range(len(active) - 1, -1, -1):
+        n = active[t]
+        at = starts[:n] + t
+        x, y = a[:n].copy(), b[:n].copy()
+        out[at] = fwd[at, 1] * y / (fwd[at, 0] * x + fwd[at, 1] * y)
+        u, v = x + w0[at] * y, x + w1[at] * y
+        s = u + v
+        a[:n], b[:n] = u / s, v / s
+    return out
+
+
+def _expected(data: bytes, first: list[int], model: Model, no: int) -> Iterator[tuple[tuple, int, int]]:
+    """((kind, x, y), without, with): expected counts of a block in one round, in units of 1 / ONE."""
+    ids, lens, (marks, lefts, rights, pairs) = pickle.loads(zlib.decompress(data))
+    if not len(ids):
+        return
+    mark, left, right, pair, far = ids.T
+    thai = np.array([m == ("ก",) for m in marks])[mark]
+    if no:
+        mark_x = np.array([0.0 if m == "ก" else model.mark_odds(m) for (m,) in marks])
+        left_x = np.array([math.log(model.thai[k[1:]][1] / model.thai[k[1:]][0]) if k[0] == "ก" else model.left_odds(*k) for k in lefts] + [0.0])
+        right_x = np.array([model.right_odds(*k) for k in rights] + [0.0])
+        pair_x = np.array([model.usual_odds(*k) for k in pairs] + [0.0])
+        odds = mark_x[mark] + left_x[left] + right_x[right] - pair_x[pair]  # what is missing has number -1, the last
+        p = _line_posteriors(np.where(thai, odds, np.clip(odds, -MOST, MOST)), far, lens, model.after)
+    else:
+        # before anything is known a mark is followed by an event as often as its prior says
+        usual = {m: yes / (without + yes) for m, (without, yes) in model.marks.items()}
+        p = np.array([usual.get(m.rstrip("~"), 0.7) for (m,) in marks])[mark]
+
+    def summed(at: np.ndarray, w: np.ndarray, size: int) -> list[int]:
+        return np.rint(np.bincount(at, np.rint(w * ONE), size)).astype(np.int64).tolist()
+
+    counted = np.zeros(len(ids), dtype=bool)
+    counted[first] = True
+    q = 1 - p
+    for kind, names, at in (("left", lefts, left), ("right", rights, right), ("pair", pairs, pair)):
+        some = counted & (at >= 0)
+        for k, x, any_ in zip(names, summed(at[some], q[some], len(names)), np.bincount(at[some], minlength=len(names)).tolist()):
+            if any_:
+                yield (kind, *k), x, 0
+    if no:
+        some = ~thai
+        for (m,), x, y in zip(marks, summed(mark[some], q[some], len(marks)), summed(mark[some], p[some], len(marks))):
+            if m != "ก":
+                yield ("mark", m), x, y
+        some = thai
+        for k, x, y in zip(lefts, summed(left[some], q[some], len(lefts)), summed(left[some], p[some], len(lefts))):
+            if k[0] == "ก":
+                yield ("thai", *k[1:]), x, y
+        before = np.r_[1.0, p[:-1]]
+        before[np.cumsum(lens) - lens] = 1.0
+        some = ~thai
+        for e, w in ((0, 1 - before), (1, before)):
+            for d, (x, y) in enumerate(zip(summed(far[some], (w * q)[some], 6), summed(far[some], (w * p)[some], 6))):
+                yield ("after", str(e), str(d)), x, y
+
+
+def _merged(start: Model, sums: list, no: int) -> Model:
+    """The model of a round from the sums of all blocks."""
+    new = Model()
+    for name in ("left_class", "left", "right_class", "right"):
+        getattr(new, name).update({k: list(v) for k, v in getattr(start, name).items()})
+    seen = {k: [5.0, 20.0] for k in new.after}
+    for (kind, *k), without, with_ in sums:
+        q, p = without / ONE, with_ / ONE
+        if kind == "left":
+            new.see(0, q, k[1], k[0], None, None)
+        elif kind == "right":
+            new.see(0, q, "", "none", k[1], k[0])
+        elif kind == "pair":
+            new.class_pair[k[0], k[2]] += q
+            if k[1] is not None:
+                new.pair[k[1], k[2]] += q
+        elif kind == "mark":
+            own = new.marks.setdefault(k[0], list(start.marks.get(k[0].rstrip("~"), UNKNOWN_MARK)))
+            own[0] += q
+            own[1] += p
+            new.prior[0] += q
+            new.prior[1] += p
+        elif kind == "thai":
+            new.thai[k[0], k[1]][0] += q
+            new.thai[k[0], k[1]][1] += p
+        else:
+            seen[int(k[0]), int(k[1])][0] += q
+            seen[int(k[0]), int(k[1])][1] += p
+    return _settled(new, start, seen if no else None)
+
+
+def _distinct_records(df: DataFrame) -> DataFrame:
+    """(id, text) with each id once; only texts of repeated ids are shuffled."""
+    records = df.where("id is not null and text is not null").select(F.col("id").cast("string").alias("id"), "text")
+    again = checkpointed(records.groupBy("id").count().where("count > 1").select("id"))
+    keys = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+    return records.join(keys, "id", "left_anti").union(records.join(keys, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+
+
+_SUMS = "kind string, x string, y string, z string, without bigint, event bigint"
+
+
+def _sum_batches(sums: dict[tuple, list[int]]) -> Iterator[pa.RecordBatch]:
+    rows = [(*(*k, None, None)[:4], *v) for k, v in sums.items()]
+    for s in range(0, len(rows), 50_000):
+        cols = list(zip(*rows[s : s + 50_000]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols[:4]] + [pa.array(c, pa.int64()) for c in cols[4:]], names=["kind", "x", "y", "z", "without", "event"])
+
+
+def _collected(rows: DataFrame) -> list[tuple[tuple, int, int]]:
+    got = rows.groupBy("kind", "x", "y", "z").agg(F.sum("without").alias("without"), F.sum("event").alias("event")).collect()
+    return sorted([((r[0], r[1], r[2], r[3]), r[4], r[5]) for r in got], key=lambda r: tuple(x or "" for x in r[0]))
+
+
+def counted_model(df: DataFrame):
+    """Broadcast of the model of (id, text), counted over all records.
+
+    Gaps are found once and kept as numbers in blocks; each round is one pass over the blocks, which gives sums by word. Sums are whole
+    numbers, and of the gaps with the same two words the one with the least hash of id and place counts, so the order of
+    records and their partitions don't matter. The driver and each worker hold the vocabulary, never texts or gaps.
+    """
+    sc = df.sparkSession.sparkContext
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        no, block = TaskContext.get().partitionId() << 16, Block()
+
+        def row() -> pa.RecordBatch:
+            places = [(h, o, (no << 31) + k) for h, (o, k) in block.words.items()]
+            words = [np.array(c, dtype=np.int64) for c in zip(*places)] or [np.zeros(0, dtype=np.int64)] * 3
+            closings = [{"kind": k[0], "x": k[1], "y": k[2], "n": n} for k, n in block.closings.items()]
+            arrays = [pa.array([no]), pa.array([block.pack()], pa.binary()), *(pa.array([w], pa.list_(pa.int64())) for w in words)]
+            closing_type = pa.list_(pa.struct([("kind", pa.string()), ("x", pa.string()), ("y", pa.string()), ("n", pa.int64())]))
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([closings], closing_type)], names=["no", "data", "hashes", "orders", "places", "closings"])
+
+        for batch in batches:
+            for part, texts in text_batches(iter([batch])):
+                for key, text in zip(part.column(0).to_pylist(), texts):
+                    block.add(key, text)
+                    if len(block.ids) > BLOCK_GAPS:
+                        yield row()
+                        no, block = no + 1, Block()
+        yield row()
+
+    schema = "no bigint, data binary, hashes array<bigint>, orders array<bigint>, places array<bigint>, closings array<struct<kind: string, x: string, y: string, n: bigint>>"
+    found = checkpointed(_distinct_records(df).mapInArrow(blocks, schema))
+    start = Model()
+    for r in found.select(F.explode("closings").alias("c")).groupBy("c.kind", "c.x", "c.y").agg(F.sum("c.n")).collect():
+        if r[0] == "left":
+            start.see(1, float(r[3]), r[2], r[1], None, None)
+        else:
+            start.see(1, float(r[3]), "", "none", r[2], r[1])
+    words = found.select(F.explode(F.arrays_zip("hashes", "orders", "places")).alias("w")).groupBy("w.hashes").agg(F.min_by("w.places", "w.orders").alias("place"))
+    first = words.select(F.expr("place >> 31").alias("no"), F.expr("cast(place & 2147483647 as int)").alias("at")).groupBy("no").agg(F.collect_list("at").alias("first"))
+    packed = checkpointed(found.select("no", "data").join(first, "no", "left"))
+    model = start
+    for no in range(ROUNDS):
+        sent = sc.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, no=no) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple, list[int]] = {}
+            for batch in batches:
+                for data, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    for k, x, y in _expected(data, own.values.to_numpy() if own.is_valid else [], sent.value, no):
+                        s = sums.setdefault(k, [0, 0])
+                        s[0] += x
+                        s[1] += y
+            yield from _sum_batches(sums)
+
+        model = _merged(start, _collected(packed.select("data", "first").mapInArrow(run, _SUMS)), no)
+        sent.unpersist()
+    return sc.broadcast(model)
+
+
 def sampled_model(df: DataFrame):
     """Broadcast of the model of (id, text), from the ``SAMPLE_RECORDS`` records whose hashes of the id are least."""
     records = df.where("id is not null and text is not null").select("id", "text")
@@ -489,7 +743,7 @@ def sentence_units(df: DataFrame) -> DataFrame:
     Units of a record travel as two arrays; repeated records are made one over these, never over texts.
     """
     records = df.where("id is not null and text is not null").select("id", "text")
-    model = sampled_model(records)
+    model = counted_model(records)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints = pa.list_(pa.int32())

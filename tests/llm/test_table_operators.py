@@ -232,6 +232,29 @@ def test_queries_over_the_smallest_tables(spark, small, name, columns):
     assert rows and len(rows) == len(set(map(tuple, rows))) and not any(v is None for r in rows for v in r)
 
 
+def counted_records(rng, n):
+    """Records whose words around a mark are met once each, so that it doesn't matter which of them count."""
+    made = iter(f"{a}{b}{c}{d}" for a in "bdfgklmn" for b in "aeiou" for c in "prstvwxz" for d in "aeiou")
+    out = []
+    for i in range(n):
+        a, b = (f"{rng.choice('kmtv')}{i:04x}".translate(str.maketrans("0123456789", "ghijklmnop")) + x for x in "qz")
+        out.append((f"r{i:04}", f"The mill saw {a}. {b.title()} was there, see Zgr. {b.title()}a at it. Then\nthe {a} fell? And {b} is {next(made, a)}! So it ends.\nวันนี้ฝนตกหนัก เขาไม่มา"))
+    return out
+
+
+def test_sentence_model_counts_all_records(spark):
+    rows = counted_records(random.Random(17), 2300)
+    df = records(spark, rows + rows[:40] + [(None, "x. Y"), ("none", None)])
+    got, want = sentences.counted_model(df.repartition(5)).value, sentences.fit([t for _, t in rows])
+    for name in ("marks", "left_class", "left", "right_class", "right", "pair", "class_pair", "thai", "after"):
+        x, y = dict(getattr(got, name)), dict(getattr(want, name))
+        assert set(x) == set(y) and all(np.allclose(x[k], y[k], rtol=1e-6, atol=1e-6) for k in x), name
+    assert got.left["capital4", "zgr"][0] > 2000
+    again = sentences.counted_model(df.repartition(2)).value
+    assert (again.left, again.right, again.marks, again.after) == (got.left, got.right, got.marks, got.after)
+    assert sentences.counted_model(df.where("false")).value.marks == sentences.fit([]).marks
+
+
 def test_sketch_of_short_sets():
     assert nearcopies.sketch(np.zeros(0, dtype=np.uint64)).tolist() == [0] * nearcopies.SYMBOLS
     assert len(set(nearcopies.sketch(np.array([5], dtype=np.uint64)).tolist())) <= nearcopies.PERMUTATIONS
