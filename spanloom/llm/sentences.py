@@ -503,12 +503,13 @@ class Block:
         self.names: list[dict[tuple, int]] = [{} for _ in range(4)]  # marks, words before, words after, pairs; Thai pairs are words before
         self.ids: list[tuple[int, int, int, int, int]] = []
         self.lens: list[int] = []
-        self.words: dict[int, tuple[int, int]] = {}  # hash of two words -> (order, place)
+        self.words: dict[str, tuple[int, int]] = {}  # two words -> (order, place)
         self.closings: Counter = Counter()
 
     def add(self, key: str, text: str) -> None:
         mark_no, left_no, right_no, pair_no = self.names
-        for line_no, (gaps, _, closing, first) in enumerate(lines_of(text, True)):
+        record = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
+        for gaps, _, closing, first in lines_of(text, True):
             if closing:
                 if closing[2] != "none":
                     self.closings["left", closing[2], closing[1]] += 1
@@ -524,10 +525,10 @@ class Block:
                     continue
                 none = left_class == "none"
                 pair = (mark, None, right_class) if none else (left_class, left, right_class)
-                h = xxhash.xxh64_intdigest(words.encode("utf-8", "surrogatepass")) - (1 << 63)
-                order = xxhash.xxh64_intdigest(f"{at} {key}".encode("utf-8", "surrogatepass")) - (1 << 63)
-                if h not in self.words or order < self.words[h][0]:
-                    self.words[h] = order, len(self.ids)
+                order = (record ^ at * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+                known = self.words.get(words)
+                if known is None or order < known[0]:
+                    self.words[words] = order, len(self.ids)
                 self.ids.append((m, -1 if none else left_no.setdefault((left_class, left), len(left_no)), right_no.setdefault((right_class, right), len(right_no)), pair_no.setdefault(pair, len(pair_no)), far))
 
     def pack(self) -> bytes:
@@ -672,7 +673,7 @@ def counted_model(df: DataFrame):
     """Broadcast of the model of (id, text), counted over all records.
 
     Gaps are found once and kept as numbers in blocks; each round is one pass over the blocks, which gives sums by word. Sums are whole
-    numbers, and of the gaps with the same two words the one with the least hash of id and place counts, so the order of
+    numbers, and of the gaps with the same two words the one that is least by id and place, both hashed, counts, so the order of
     records and their partitions don't matter. The driver and each worker hold the vocabulary, never texts or gaps.
     """
     sc = df.sparkSession.sparkContext
@@ -683,7 +684,7 @@ def counted_model(df: DataFrame):
         no, block = TaskContext.get().partitionId() << 16, Block()
 
         def row() -> pa.RecordBatch:
-            places = [(h, o, (no << 31) + k) for h, (o, k) in block.words.items()]
+            places = [(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63), o - (1 << 63), (no << 31) + k) for w, (o, k) in block.words.items()]
             words = [np.array(c, dtype=np.int64) for c in zip(*places)] or [np.zeros(0, dtype=np.int64)] * 3
             closings = [{"kind": k[0], "x": k[1], "y": k[2], "n": n} for k, n in block.closings.items()]
             arrays = [pa.array([no]), pa.array([block.pack()], pa.binary()), *(pa.array([w], pa.list_(pa.int64())) for w in words)]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches
-from .sentences import Model, sampled_model, units
+from .sentences import Model, counted_model, units
 
 CUT, WORD, SENTENCE, LINE, PARAGRAPH = range(5)
 _WORD_END = re.compile(r"(?<=\S)(?=\s)")
@@ -114,7 +114,7 @@ def pieces(text: str | None, limit: int = 3000, overlap: int = 200, model: Model
 
 def split_records(df: DataFrame, limit: int = 3000, overlap: int = 200) -> DataFrame:
     """(id, piece_no, start_char, end_char) of (id, text); repeated records are made one over the offsets."""
-    sent = sampled_model(df)
+    sent = counted_model(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints = pa.list_(pa.int32())

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, nearcopies, packing, queries, sentences, sharedspans, truncation
+from spanloom.llm import bpe, nearcopies, packing, queries, sentences, sharedspans, splitting, truncation
 
 WORDS = [f"w{i:03d}x" for i in range(400)]
 
@@ -255,6 +255,31 @@ def test_sentence_model_counts_all_records(spark):
     assert sentences.counted_model(df.where("false")).value.marks == sentences.fit([]).marks
 
 
+def taught_records():
+    rng = random.Random(18)
+    names = ["".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(3)).title() for _ in range(400)]
+    return [(f"t{i:03}", f"The {rng.choice(WORDS)} saw Zgr. {n} at the mill. {rng.choice(names)} sold the wheel.") for i, n in enumerate(names)]
+
+
+def test_pieces_know_words_of_all_records(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "SAMPLE_RECORDS", 1, raising=False)
+    rows = taught_records()
+    rows.append(("long", " ".join(f"{('He and', 'It and the old wheel of')[i % 2]} Zgr. {t.split('Zgr. ')[1].split()[0]} went by the mill and the wheel of it." for i, (_, t) in enumerate(rows[:40]))))
+    model = sentences.fit([t for _, t in rows])
+    want = splitting.pieces(rows[-1][1], 110, 10, model)
+    assert want != splitting.pieces(rows[-1][1], 110, 10)
+    got = [(r.start_char, r.end_char) for r in splitting.split_records(records(spark, rows), 110, 10).where("id = 'long'").orderBy("piece_no").collect()]
+    assert got == want
+
+
+def test_closing_words_are_known_from_all_records(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "SAMPLE_RECORDS", 1, raising=False)
+    rows = [(i, t) for i, (_, t) in enumerate(taught_records())] + [(9000, "The mill stood still for days. It was sold by Zgr.")]
+    assert truncation.closing(rows[-1][1], sentences.Model())[0] == truncation.COMPLETE
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in truncation.cut_documents(df).collect()} == {9000}
+
+
 def test_sketch_of_short_sets():
     assert nearcopies.sketch(np.zeros(0, dtype=np.uint64)).tolist() == [0] * nearcopies.SYMBOLS
     assert len(set(nearcopies.sketch(np.array([5], dtype=np.uint64)).tolist())) <= nearcopies.PERMUTATIONS
