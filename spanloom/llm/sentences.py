@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_KEYS, checkpointed, text_batches
 
-#: The model is estimated on at most so many records, whatever the size of the collection.
-SAMPLE_RECORDS = 2_000
 ROUNDS = 8
 #: Gaps of a block, expected counts are whole numbers of 1 / ONE, and longer lines are done one by one.
 BLOCK_GAPS, ONE, LONG_LINE = 100_000, 1 << 30, 256
@@ -730,14 +728,6 @@ def counted_model(df: DataFrame):
     return sc.broadcast(model)
 
 
-def sampled_model(df: DataFrame):
-    """Broadcast of the model of (id, text), from the ``SAMPLE_RECORDS`` records whose hashes of the id are least."""
-    records = df.where("id is not null and text is not null").select("id", "text")
-    chosen = records.select("id").distinct().orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SAMPLE_RECORDS)
-    rows = records.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("text").alias("text")).orderBy("id").collect()
-    return df.sparkSession.sparkContext.broadcast(fit([r["text"] for r in rows]))
-
-
 def sentence_units(df: DataFrame) -> DataFrame:
     """(rec_id, start_char, end_char) of the units of (id, text).
 

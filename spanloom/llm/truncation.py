@@ -9,7 +9,7 @@ In this order:
    break (dots, a bracketed note) is tried without, too.
 2. Texts that no copy settles are scored by the terminality of their closing words: what the last line ends with (sentence mark,
    ellipsis glued to a word, open markup, half a character) and what kind of line it is. Whether a full stop ends a sentence or an
-   abbreviation is asked from the hidden-event model of ``sentences``, fitted on a bounded sample of the same texts.
+   abbreviation is asked from the hidden-event model of ``sentences``, counted over all texts.
 3. Where closing words leave it open: exact lengths at which far more texts end than around them, counted over all texts; and
    for prose without sentence marks, whether its closing letters end a sentence in another text.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, text_batches
 from .hashing import Rolling, code_points, mix
-from .sentences import Model, sampled_model
+from .sentences import Model, counted_model
 
 COMPLETE, CUT, BY_LIMIT, BY_ENDING = range(4)
 
@@ -340,7 +340,7 @@ def _thai_sentence_ends(df: DataFrame) -> DataFrame:
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """(doc_id) of the rows of (doc_id, text) whose text breaks off."""
-    model = sampled_model(docs.select(F.col("doc_id").alias("id"), "text"))
+    model = counted_model(docs.select(F.col("doc_id").alias("id"), "text"))
     features = checkpointed(_features(docs, model))
     by_copy = checkpointed(cut_by_copy(docs, features))
     unmatched = features.select("doc_id", "verdict", "ending", "n").join(by_copy, "doc_id", "left_anti")
